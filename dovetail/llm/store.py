@@ -22,11 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder (in a folder for each value of `by`) and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dovetail-{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _kept.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._dovetail_path = path  # type: ignore[attr-defined]
