@@ -18,4 +18,4 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column,
     if even and sizes:
         per_label = min(per_label, *sizes.values())
     chosen = vectors.sampled(known, F.col(id_col), F.col("_label"), per_label).select(F.col(id_col), "_label")
-    return docs.join(F.broadcast(chosen), id_col), sizes
+    return docs.select(id_col, *[c for c in docs.columns if c not in (id_col, "_label")]).join(F.broadcast(chosen), id_col), sizes

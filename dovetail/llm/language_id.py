@@ -89,6 +89,6 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str], text_col: str
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = store.table(spark, sf_dir, "documents").withColumn("held_out", store.id_crc() % 5 == 0)
+    docs = store.table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", store.id_crc() % 5 == 0)
     model = fit(docs.filter(~F.col("held_out")))
     return identify(docs, model, ["doc_id", "held_out"])

@@ -84,6 +84,6 @@ def classify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
 
 
 def op9_quality_knn(spark, sf_dir: str) -> DataFrame:
-    docs = store.table(spark, sf_dir, "documents").withColumn("held_out", store.id_crc() % 3 == 1)
+    docs = store.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", store.id_crc() % 3 == 1)
     model = fit(docs, store.table(spark, sf_dir, "labels"), store.id_crc() % 3 != 1)
     return classify(docs, model, ["doc_id", "held_out"])

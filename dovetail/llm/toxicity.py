@@ -180,6 +180,6 @@ def classify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
 
 
 def op6_toxicity_kneser_ney(spark, sf_dir: str) -> DataFrame:
-    docs = store.table(spark, sf_dir, "documents").withColumn("held_out", store.id_crc() % 5 == 0)
+    docs = store.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", store.id_crc() % 5 == 0)
     model = fit(docs, store.table(spark, sf_dir, "labels"), store.id_crc() % 5 != 0)
     return classify(docs, model, ["doc_id", "held_out"])
