@@ -9,7 +9,7 @@ from dovetail.llm.packing import op1_hierarchical_packing
 from dovetail.llm.pitman_yor import op3_pitman_yor
 from dovetail.llm.pivot_search import OP4_SQL, op4_pivot_top_k
 from dovetail.llm.quality import op9_quality_knn
-from dovetail.llm.secrets import op8_secret_scan
+from dovetail.llm.secrets import OP8_SQL, op8_secret_scan
 from dovetail.llm.sentencepiece import op5_sentencepiece
 from dovetail.llm.toxicity import op6_toxicity_kneser_ney
 
@@ -28,4 +28,4 @@ QUERIES = {
         op10_progressive_jpeg,
     )
 }
-ORACLES = {"op4_pivot_top_k": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL}
+ORACLES = {"op4_pivot_top_k": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_secret_scan": OP8_SQL}

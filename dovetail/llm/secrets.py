@@ -101,3 +101,19 @@ def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan(store.table(spark, sf_dir, "documents"), keep=["doc_id"])
     number = lambda k: F.size(F.filter("_s_base", lambda x: x["k"] == k)).cast("long")
     return found.select("doc_id", *[number(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(joined(F.col("_s_base")), 256).alias("base_sha256"), joined(F.col("_s_all")).alias("spans"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+p(k, kind, pattern, least) AS (VALUES (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8), (1, 'access', '(AKIA[A-Z0-9]+)', 16), (2, 'hex', '([0-9a-f]{32,})', 32)),
+m AS (SELECT doc_id, source, k, kind, least, regexp_extract_all(t, pattern, 0) AS w, regexp_extract_all(t, pattern, 1) AS v, string_split_regex(t, pattern) AS g FROM d JOIN p ON regexp_matches(t, pattern)),
+i AS (SELECT *, unnest(range(1, len(w) + 1)) AS n FROM m),
+s AS (SELECT doc_id, source, k, kind, least, v[n] AS value, CAST(length(array_to_string(g[1:n], '')) + length(array_to_string(w[1:n - 1], '')) AS BIGINT) AS s, length(w[n]) AS size FROM i),
+b AS (SELECT doc_id, source, k, kind, value, s, s + size AS e FROM s WHERE length(value) >= least),
+o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM b GROUP BY value),
+l AS (SELECT DISTINCT doc_id, 3 AS k, 'live' AS kind, e - length(value) AS s, e FROM b JOIN o USING (value) WHERE owners <= 1 AND length(value) >= 12 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')),
+j AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM (SELECT doc_id, k, kind, s, e FROM b UNION ALL SELECT doc_id, k, kind, s, e FROM l) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS x, count(*) FILTER (k = 2) AS h, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS base FROM b GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(x, 0) AS BIGINT) AS n_access, CAST(coalesce(h, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id)
+"""

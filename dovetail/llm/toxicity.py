@@ -82,6 +82,7 @@ def kneser_ney(tokens: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     p_shared = (shared_n + 1) * floor
     at_context = np.searchsorted(contexts, ctx_of)
     word_log, gram_log, context_log = {}, {}, {}
+    kept_grams = np.zeros(len(grams), bool)
     for c in (0, 1):
         before, context, word, gram = tokens[c]
         n_word = look(contexts_of(word, context), shared_keys)
@@ -91,15 +92,21 @@ def kneser_ney(tokens: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         word_log[c] = (np.log(p_word), np.log(lam * floor))
         n_gram = look(contexts_of(gram, before), grams)
         own = np.where(n_gram > GRAM_CONTEXTS, n_gram, 0)
+        kept_grams |= own > 0
         n_ctx = np.maximum(np.bincount(at_context, n_gram, minlength=len(contexts)), 1)
         back = 1 - np.bincount(at_context, own, minlength=len(contexts)) / n_ctx * (1 - 1e-6)
         context_log[c] = np.log(back)
         gram_log[c] = np.log(own / n_ctx[at_context] + back[at_context] * look((shared_keys, p_word), word_of))
+    # what is as in the backoff is left out of the tables: they hold what some class keeps
+    ratio = lambda logs: (logs[1] - logs[0]).astype(np.float32)
+    unknown = float(word_log[1][1] - word_log[0][1])
+    words_ = np.abs(ratio({c: word_log[c][0] for c in (0, 1)}) - unknown) > 1e-6
+    contexts_ = np.abs(ratio(context_log)) > 1e-6
     return {
-        "grams": (grams, (gram_log[1] - gram_log[0]).astype(np.float32)),
-        "words": (shared_keys, (word_log[1][0] - word_log[0][0]).astype(np.float32)),
-        "contexts": (contexts, (context_log[1] - context_log[0]).astype(np.float32)),
-        "unknown": float(word_log[1][1] - word_log[0][1]),
+        "grams": (grams[kept_grams], ratio(gram_log)[kept_grams]),
+        "words": (shared_keys[words_], ratio({c: word_log[c][0] for c in (0, 1)})[words_]),
+        "contexts": (contexts[contexts_], ratio(context_log)[contexts_]),
+        "unknown": unknown,
     }
 
 
