@@ -7,8 +7,9 @@ Texts whose shared part is below the threshold leave.  Exact copies become one c
 classes are joined; pairs pass the length, positional and suffix filters and are verified once each by intersection.
 
 Linked texts need only be connected, so each posting list is first compared with one centre (a star), lists that
-lie within one component are finished, and after a few rounds the rest is compared pair by pair across components:
-every link between different texts is covered, without a square of a group of copies.
+lie within one component are finished, and after a few rounds the texts that open lists still connect are compared block
+by block, each block pair giving only links that join components: every link between different texts is covered, and
+no group of copies becomes a square of rows.
 
 Edge cases.  Null and empty texts: size 0, linked with nothing, component_id their own id.  Fewer words than k: the
 whole sequence is one shingle.  A null id: the text takes part, component_id is the smallest non-null id of its
@@ -36,7 +37,9 @@ BLOCK_BYTES, BLOCK_DOCS = 24 << 20, 1 << DOC_BITS
 HEAVY = 16
 PART_BYTES = 24 << 20
 BUCKETS = 16
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Texts of a block when a cluster is compared block by block.
+GROUP = 512
 
 
 def _emitter(k: int, n_parts: int):
@@ -201,6 +204,93 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
             return label
 
 
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all sets of y: common shingles by matrix product, rare ones by lists."""
+    size = lambda sets: np.array([len(v) for v in sets])
+    token, index = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    cut = int(size(x).sum())
+    tx, ty = index[:cut], index[cut:]
+    dx, dy = np.repeat(np.arange(len(x)), size(x)), np.repeat(np.arange(len(y)), size(y))
+    nx, ny = np.bincount(tx, minlength=len(token)), np.bincount(ty, minlength=len(token))
+    out = np.zeros(len(x) * len(y), np.int64)
+    often = nx * ny >= 2048
+    column = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), 4096):
+        half = []
+        for t, d, n in ((tx, dx, len(x)), (ty, dy, len(y))):
+            m = np.zeros((n, 4096), np.float32)
+            own = often[t] & (column[t] >= lo) & (column[t] < lo + 4096)
+            m[d[own], column[t[own]] - lo] = 1
+            half.append(m)
+        out += (half[0] @ half[1].T).astype(np.int64).reshape(-1)
+    by = np.argsort(ty, kind="stable")
+    starts = np.cumsum(ny) - ny
+    own = np.flatnonzero(~often[tx] & (ny[tx] > 0))
+    for lo in range(0, len(own), 1 << 16):
+        mine = own[lo : lo + (1 << 16)]
+        many = ny[tx[mine]]
+        place = np.repeat(starts[tx[mine]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        out += np.bincount(np.repeat(dx[mine], many) * len(y) + dy[by[place]], minlength=len(out))
+    return out.reshape(len(x), len(y))
+
+
+def _linker(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of two blocks of texts: links that join what is not joined yet."""
+        left = pdf[(pdf["bucket"] == pdf["b1"]) & (pdf["block"] == pdf["i1"])]
+        right = pdf[(pdf["bucket"] == pdf["b2"]) & (pdf["block"] == pdf["i2"])]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        common = _intersections(list(left["vals"]), list(right["vals"]))
+        n1, n2 = left["n"].to_numpy(), right["n"].to_numpy()
+        linked = (common > 0) & ((100 + percent) * common >= percent * (n1[:, None] + n2[None, :]))
+        linked &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        out = []
+        u1, u2, c1, c2 = (v.tolist() for v in (left["uid"], right["uid"], left["comp"], right["comp"]))
+        for i, j in zip(*(v.tolist() for v in np.nonzero(linked)), strict=True):
+            x, y = find(c1[i]), find(c2[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((u1[i], u2[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _block_links(alive: DataFrame, label: DataFrame, records: DataFrame, percent: int) -> DataFrame:
+    """Links across components within what still shares an open list, without a row for each pair.
+
+    Texts that open lists connect are a cluster.  A cluster is cut by size into buckets so that only texts of one bucket
+    or of neighbours can link (the length filter), and buckets by hash into blocks; each pair of blocks is one group."""
+    lists = alive.groupBy("val").agg(F.min("uid").alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("val", "centre")
+    near = alive.join(lists, "val").filter("uid <> centre").select(F.col("centre").alias("a"), F.col("uid").alias("b")).distinct()
+    clusters = components(near, "clusters").select(F.col("node").alias("uid"), F.col("label").alias("cluster"))
+    bucket = F.floor(F.log(F.col("n").cast("double")) / float(np.log(101 / percent))).cast("int")
+    members = records.join(clusters, "uid").join(label.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "n", "vals", "cluster", F.coalesce("label", "uid").alias("comp"), bucket.alias("bucket"))
+    members = store.materialize(members, "members")
+    blocks = members.groupBy("cluster", "bucket").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    own = members.join(blocks, ["cluster", "bucket"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    for name, step in (("above", 1), ("below", -1)):
+        own = own.join(blocks.select("cluster", (F.col("bucket") - step).alias("bucket"), F.col("blocks").alias(name)), ["cluster", "bucket"], "left")
+    b, i = F.col("bucket"), F.col("block")
+    key = lambda b1, i1, b2, i2: F.struct(b1.alias("b1"), i1.alias("i1"), b2.alias("b2"), i2.alias("i2"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    keys = F.concat(
+        F.transform(upto(F.col("blocks")), lambda j: key(b, F.least(i, j), b, F.greatest(i, j))),
+        F.transform(upto(F.coalesce("above", F.lit(0))), lambda j: key(b, i, b + 1, j)),
+        F.transform(upto(F.coalesce("below", F.lit(0))), lambda j: key(b - 1, j, b, i)),
+    )
+    dealt = own.select("uid", "n", "vals", "cluster", "comp", "bucket", "block", F.explode(keys).alias("key")).select("*", "key.*").drop("key")
+    return dealt.groupBy("cluster", "b1", "i1", "b2", "i2").applyInPandas(_linker(percent), "a long, b long")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each text: uid, id, n_shingles, component_id (see the module's text for edge cases)."""
     every = text_sets(docs, id_col, text_col, k, percent)
@@ -233,11 +323,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not alive.limit(1).count():
             break
     else:
-        lists = alive.groupBy("val").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("val")
-        rest = alive.join(lists, "val", "left_semi")
-        x, y = rest.alias("x"), rest.alias("y")
-        pairs = x.join(y, (F.col("x.val") == F.col("y.val")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.uid") < F.col("y.uid")) & may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-        found = store.materialize(_verified(pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct(), records, percent), "links")
+        found = store.materialize(_block_links(alive, label, records, percent), "links")
         links = links.union(found)
         label = components(links)
     of_class = classes.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
