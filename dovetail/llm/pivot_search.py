@@ -7,7 +7,8 @@ bound order, and a query stops exactly where no bound reaches its k-th score (ti
 bounds are still evaluated).  Blocks' best k are merged for each query.
 
 Candidates and queries are dealt to blocks of bounded size by hash, each pair of blocks being one group: no side is
-broadcast or collected, and no pair of rows becomes a row.  Pivots are PIVOTS vectors with the smallest hashes.
+broadcast or collected, and no pair of rows becomes a row.  Pivots are different vectors, one from each of PIVOTS hash slots, so a
+common vector is one pivot at most; dimensions beyond the first hundred use a query as their pivot.
 
 Edge cases.  Null vectors, vectors with null or non-finite components and rows with a null id take no part; a query
 is never its own candidate, nor are rows that repeat its id; repeated candidate rows count once for each row; only
@@ -73,11 +74,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     x = usable(vectors, id_col, vec_col).withColumn("dim", F.size("v"))
     n, n_queries = x.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     n_blocks, n_query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    rows = x.orderBy(F.xxhash64("v"), "id").limit(PIVOTS * 4).collect()
+    slot = F.pmod(F.xxhash64("v"), F.lit(4 * PIVOTS))
+    rows = x.groupBy("dim", slot.alias("slot")).agg(F.min_by("v", F.xxhash64("v")).alias("v")).orderBy("dim", "slot").limit(400 * PIVOTS).collect()
     pivots: dict[int, list] = {}
     for r in rows:
         mine = pivots.setdefault(r["dim"], [])
-        if len(mine) < PIVOTS and list(r["v"]) not in mine:
+        if len(mine) < PIVOTS:
             mine.append(list(r["v"]))
     place = lambda size: F.pmod(F.xxhash64("id"), F.lit(size))
     each = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
