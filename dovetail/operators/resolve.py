@@ -6,7 +6,7 @@ file's name agree.  Nothing else joins records.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dovetail.functions.normalize import file_stem
@@ -38,15 +38,30 @@ def exact_groups(records: DataFrame) -> DataFrame:
 
 
 def listed_pairs(records: DataFrame) -> DataFrame:
-    """(row, resume, place of the row) for rows and the resume files they list; each row takes the first resume that
-    agrees and is free, in the rows' order.
+    """(x: row, y: resume, px: place of the row) for rows and the resume files they list; each row takes the first resume
+    that agrees and is free, in the rows' order.
 
-    Rows prefer resumes by place and resumes prefer rows by place, so in each round the pairs that are first for both
-    are final; rounds end when no pair is left."""
-    row = records.filter("source_type = 'recruiter_csv' AND file IS NOT NULL").alias("a")
-    resume = records.filter("source_type = 'resume' AND file IS NOT NULL").alias("b")
+    Where all resumes of a file are alike (copies of one file that several rows list), the rows that agree take them by
+    rank, so a file that very many rows list needs no pair of each row with each copy.  Other files go by rounds."""
+    rows = records.filter("source_type = 'recruiter_csv' AND file IS NOT NULL")
+    resumes = records.filter("source_type = 'resume' AND file IS NOT NULL")
+    kinds = resumes.groupBy("file", "email", "phone", "name").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"))
+    alike = cut(kinds.join(kinds.groupBy("file").agg(F.count(F.lit(1)).alias("kinds")), "file"))
     fits = validated(*[F.col(f"a.{c}") for c in ("email", "phone", "name")], *[F.col(f"b.{c}") for c in ("email", "phone", "name")], F.col("a.file"))
-    open_ = cut(row.join(resume, F.col("a.file") == F.col("b.file")).filter(fits).select(F.col("a.record_id").alias("x"), F.col("b.record_id").alias("y"), F.col("a.place").alias("px"), F.col("b.place").alias("py")))
+    in_order = Window.partitionBy("file").orderBy("place")
+    same = alike.filter("kinds = 1")
+    agreeing = rows.alias("a").join(same.alias("b"), "file").filter(fits).select("file", F.col("a.record_id").alias("x"), F.col("a.place").alias("place")).withColumn("rank", F.row_number().over(in_order))
+    copies = resumes.join(same.select("file"), "file", "left_semi").select("file", F.col("record_id").alias("y"), "place").withColumn("rank", F.row_number().over(in_order)).drop("place")
+    by_rank = agreeing.join(copies, ["file", "rank"]).select("x", "y", F.col("place").alias("px"))
+    mixed = resumes.join(alike.filter("kinds > 1").select("file").distinct(), "file", "left_semi")
+    pairs = rows.alias("a").join(mixed.alias("b"), F.col("a.file") == F.col("b.file")).filter(fits)
+    return by_rank.unionByName(by_rounds(pairs.select(F.col("a.record_id").alias("x"), F.col("b.record_id").alias("y"), F.col("a.place").alias("px"), F.col("b.place").alias("py"))))
+
+
+def by_rounds(pairs: DataFrame) -> DataFrame:
+    """Rows prefer resumes by place and resumes prefer rows by place, so in each round the pairs that are first for both
+    are final; rounds end when no pair is left."""
+    open_ = cut(pairs)
     final = None
     while not open_.isEmpty():
         first_of = open_.groupBy("x").agg(F.min("py").alias("first_y"))

@@ -84,7 +84,7 @@ def test_rounding_of_months_and_single_source_scores(spark):
 def test_person_names_and_binary_gate(spark):
     for text, fits in [("Ana Lima", True), ("O'Neil-Smith Jr.", True), ("X1 Y2 Z3", False), ("A", False), ("é" * 61, False), (None, False)]:
         assert one(spark, normalize.person_name(F.col("x")), x=text) is fits
-    for text, gate in [("plain text\n" * 50, False), ("\x01" * 5 + "a" * 95, True), ("\x01" * 4 + "a" * 96, False), (" " * 20 + "a" * 80, True), ("", False)]:
+    for text, gate in [("plain text\n" * 50, False), ("\x01" * 5 + "a" * 95, True), ("\x01" * 4 + "a" * 96, False), ("\u200b" * 20 + "a" * 80, True), ("", False)]:
         assert one(spark, normalize.binary_like(F.col("x")), x=text) is gate
 
 
@@ -236,6 +236,8 @@ def test_listed_resumes_are_taken_once(spark):
     df = spark.createDataFrame([(*r, "f.txt", r[2]) for r in rows], f"place {place}, source_type string, source_id string, email string, phone string, name string, file string, record_id string")
     got = {(r["x"], r["y"]) for r in resolve.listed_pairs(df).collect()}
     assert got == {("a", "r"), ("b", "s")}
+    other = df.withColumn("name", F.when(F.col("record_id") == "s", "M").otherwise(F.col("name")))
+    assert {(r["x"], r["y"]) for r in resolve.listed_pairs(other).collect()} == got
 
 
 def test_projection_grammar(result):
