@@ -48,7 +48,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     idf = vectors.idf(n, having)
     sample = vectors.sampled(train, F.col(id_col), F.col(lang_col), SAMPLE_PER_LANG)
 
-    def score(data, at, _):
+    def score(data, at):
         x = vectors.weighted(vectors.counts(data, at, table, SIZES, DIMS), idf).astype(np.float16)
         return [[r.tobytes() for r in x]]
 
@@ -68,13 +68,13 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return {"langs": langs, "centres": np.stack(centres), "radii": np.array(radii), "idf": idf}
 
 
-def identify(docs: DataFrame, model: dict | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """`keep` columns of docs, lang_pred, score (cosine, 0 to 1) and rejected."""
+def identify(docs: DataFrame, model: dict | None, keep: list[str], text_col: str = "text", inside: str | None = None) -> DataFrame:
+    """`keep` columns of docs, lang_pred, score (cosine, 0 to 1) and rejected (inside: see vectors.scored)."""
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     table = vectors.folded()
 
-    def score(data, at, _):
+    def score(data, at):
         near = vectors.weighted(vectors.counts(data, at, table, SIZES, DIMS), model["idf"]) @ model["centres"].T
         best = near.argmax(1)
         cosine = near[np.arange(len(best)), best].astype(float)
@@ -83,7 +83,7 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str], text_col: str
         return [[model["langs"][b] for b in best], np.clip(cosine, 0, 1), cosine < least]
 
     letters = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    out = vectors.scored(letters, [*keep, "_letter"], text_col, score, "_lang string, _score double, _rejected boolean")
+    out = vectors.scored(letters, [*keep, "_letter"], text_col, score, "_lang string, _score double, _rejected boolean", inside)
     known = F.col("_letter")
     return out.select(*keep, F.when(known, F.col("_lang")).otherwise("und").alias("lang_pred"), F.when(known, F.col("_score")).otherwise(0.0).alias("score"), (~known | F.col("_rejected")).alias("rejected"))
 

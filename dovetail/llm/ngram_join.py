@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dovetail.llm import store
-from dovetail.llm.blobs import gaps, pack, ungap, unpack
+from dovetail.llm.blobs import gaps, pack, tidied, tidy, ungap, unpack
 from dovetail.llm.text import U64, chunks, mix, shingles, words
 
 KEY_BITS, DOC_BITS = 48, 16
 #: A block of texts that one task holds at once.
-BLOCK_BYTES, BLOCK_DOCS = 24 << 20, 1 << DOC_BITS
+BLOCK_BYTES, BLOCK_DOCS = 12 << 20, 1 << DOC_BITS
 #: A shingle in so many texts of one block goes out as one count; its texts stay with their block.
 HEAVY = 16
 PART_BYTES = 24 << 20
@@ -166,12 +166,13 @@ def _records(percent: int):
 def text_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Each text with its set size, set hash and shared shingles, in the shared folder."""
     spark = docs.sparkSession
+    store.small_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = store.parts_for(spark, n_bytes, PART_BYTES)
-    sent = own.mapInArrow(_emitter(k, n_parts), "part int, block long, kind int, blob binary")
-    back = sent.groupBy("part").applyInPandas(_count_part, "block long, kind int, blob binary")
-    out = back.groupBy("block").applyInPandas(_records(percent), "uid long, id long, n long, h1 long, h2 long, vals array<long>, parts array<int>")
+    sent = own.mapInArrow(tidy(_emitter(k, n_parts)), "part int, block long, kind int, blob binary")
+    back = sent.groupBy("part").applyInPandas(tidied(_count_part), "block long, kind int, blob binary")
+    out = back.groupBy("block").applyInPandas(tidied(_records(percent)), "uid long, id long, n long, h1 long, h2 long, vals array<long>, parts array<int>")
     return store.materialize(out, "sets")
 
 
@@ -288,7 +289,7 @@ def _block_links(alive: DataFrame, label: DataFrame, records: DataFrame, percent
         F.transform(upto(F.coalesce("below", F.lit(0))), lambda j: key(b - 1, j, b, i)),
     )
     dealt = own.select("uid", "n", "vals", "cluster", "comp", "bucket", "block", F.explode(keys).alias("key")).select("*", "key.*").drop("key")
-    return dealt.groupBy("cluster", "b1", "i1", "b2", "i2").applyInPandas(_linker(percent), "a long, b long")
+    return dealt.groupBy("cluster", "b1", "i1", "b2", "i2").applyInPandas(tidied(_linker(percent)), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -46,7 +46,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label_col: str = "quality",
     idf = vectors.idf(n, having)
     sample, sizes = labelled.sample(docs, labels, label_col, allowed, SAMPLE_PER_LABEL)
 
-    def score(data, at, _):
+    def score(data, at):
         return [[r.astype(np.float16).tobytes() for r in vectors.weighted(vectors.counts(data, at, TABLE, SIZES, DIMS), idf)]]
 
     rows = sorted(vectors.scored(sample, ["_label"], text_col, score, "x binary").collect(), key=lambda r: (r[0], bytes(r[1])))
@@ -71,16 +71,16 @@ def vote(near: np.ndarray, model: dict, k: int = NEIGHBOURS) -> np.ndarray:
     return np.where(total > 0, ones / np.where(total > 0, total, 1), model["prior"])
 
 
-def classify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text") -> DataFrame:
-    """`keep` columns of docs, score and predicted."""
+def classify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text", inside: str | None = None) -> DataFrame:
+    """`keep` columns of docs, score and predicted (inside: see vectors.scored)."""
 
-    def score(data, at, _):
+    def score(data, at):
         if "known" not in model:
             return [np.full(len(at) - 1, model["prior"])]
         x = unit(vectors.weighted(vectors.counts(data, at, TABLE, SIZES, DIMS), model["idf"]) @ model["space"])
         return [np.clip(vote(x @ model["known"].T, model), 0, 1).astype(float)]
 
-    return vectors.scored(docs, keep, text_col, score, "score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return vectors.scored(docs, keep, text_col, score, "score double", inside).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op9_quality_knn(spark, sf_dir: str) -> DataFrame:

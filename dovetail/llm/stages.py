@@ -20,14 +20,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier takes for good; it learns from all labels."""
     rows = whole_rows(docs)
     model = quality.fit(rows.select("doc_id", "text"), store.table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.classify(rows, model, ["_row"]).filter("predicted = 1").select("_row.*")
+    return quality.classify(rows, model, ["_row"], inside="_row").filter("predicted = 1").select("_row.*")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language classifier does not reject."""
     rows = whole_rows(docs)
     model = language_id.fit(rows.select("doc_id", "text", "lang"))
-    return language_id.identify(rows, model, ["_row"]).filter("NOT rejected").select("_row.*")
+    return language_id.identify(rows, model, ["_row"], inside="_row").filter("NOT rejected").select("_row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

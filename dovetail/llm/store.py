@@ -62,6 +62,17 @@ def id_crc(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most from now on: whole texts in batches of the default size take much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def parts_for(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:
     """Parts for an exchange: the session's shuffle partitions, or more where parts would pass part_bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // part_bytes))

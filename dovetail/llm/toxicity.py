@@ -38,16 +38,19 @@ STRIP[list(_EDGE)] = 32
 def pairs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of all tokens: the text's number, the hashes of the word two before, the word before, the word, the bigram."""
     h, first = words(STRIP[data], at)
-    doc = owners(first)
-    before = np.empty_like(h)
-    if len(h):
-        before[1:] = h[:-1]
-        before[first[:-1][np.diff(first) > 0]] = _START
-    second = np.empty_like(h)
-    if len(h):
-        second[1:] = before[:-1]
-        second[first[:-1][np.diff(first) > 0]] = _START
-    return doc, second, before, h, mix(before * U64(3) ^ mix(h))
+    return owners(first), *in_context(h, first)
+
+
+def in_context(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the words of texts: the word two before, the word before, the word, the bigram."""
+    starts = first[:-1][np.diff(first) > 0]
+    out = [h]
+    for _ in range(2):
+        before = np.empty_like(h)
+        before[1:] = out[0][:-1]
+        before[starts] = _START
+        out.insert(0, before)
+    return *out, mix(out[1] * U64(3) ^ mix(h))
 
 
 def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,22 +149,22 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label_col: str = "toxic", t
     model: dict = {"prior": sizes.get(1, 0) / total if total else 0.5}
     parted = sample.withColumn("_part", F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(CALIBRATE)) == 0)
 
-    def score(data, at, _):
-        doc, *rest = pairs(data, at)
-        cut = np.searchsorted(doc, np.arange(len(at)))
-        return [[r[cut[i] : cut[i + 1]].tobytes() for i in range(len(at) - 1)] for r in rest]
+    def score(data, at):
+        h, first = words(STRIP[data], at)
+        return [[h[first[i] : first[i + 1]].tobytes() for i in range(len(at) - 1)]]
 
-    learn = vectors.scored(parted.filter(~F.col("_part")), ["_label", id_col], text_col, score, "b binary, c binary, w binary, g binary").collect()
+    learn = vectors.scored(parted.filter(~F.col("_part")), ["_label", id_col], text_col, score, "w binary").collect()
     if len({r[0] for r in learn}) < 2:
         return model
     learn.sort(key=lambda r: (r[0], r[1]))
     tokens = {}
     for c in (0, 1):
-        own = [r for r in learn if r[0] == c]
-        tokens[c] = tuple(np.frombuffer(b"".join(bytes(r[j]) for r in own), U64) for j in (2, 3, 4, 5))
+        own = [r[2] for r in learn if r[0] == c]
+        tokens[c] = in_context(np.frombuffer(b"".join(own), U64), np.cumsum([0] + [len(w) // 8 for w in own]))
+    del learn
     model |= kneser_ney(tokens)
     names = ", ".join(f"x{i} double" for i in range(len(MARGINS)))
-    held = vectors.scored(parted.filter(F.col("_part")), ["_label"], text_col, lambda data, at, _: ratios(data, at, model, MARGINS), names).collect()
+    held = vectors.scored(parted.filter(F.col("_part")), ["_label"], text_col, lambda data, at: ratios(data, at, model, MARGINS), names).collect()
     x, y = np.array([r[1:] for r in held], float).reshape(-1, len(MARGINS)), np.array([r[0] for r in held], float)
     if len(set(y)) == 2:
         share = {v: sizes[v] / max(1, int((y == v).sum())) for v in (0, 1)}
@@ -178,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label_col: str = "toxic", t
 def classify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text") -> DataFrame:
     """`keep` columns of docs, score and predicted."""
 
-    def score(data, at, _):
+    def score(data, at):
         if "curve" not in model:
             return [np.full(len(at) - 1, model["prior"])]
         return [curved(ratios(data, at, model, (model["margin"],))[0], model["curve"])]

@@ -6,9 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dovetail.llm import store
+from dovetail.llm.blobs import tidy
 from dovetail.llm.text import LOWER, chunks
 
 #: Texts of a dense block of vectors.
@@ -65,6 +69,8 @@ def weighted(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def document_counts(docs: DataFrame, text: Column, table: np.ndarray, sizes: tuple[int, ...], dims: int) -> tuple[int, np.ndarray]:
     """How many of all documents there are and how many hold each column's n-grams; `dims` numbers reach the driver."""
 
+    store.small_batches(docs.sparkSession)
+
     def run(batches):
         total, n = np.zeros(dims, np.int64), 0
         for batch in batches:
@@ -73,7 +79,7 @@ def document_counts(docs: DataFrame, text: Column, table: np.ndarray, sizes: tup
                 n += hi - lo
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims + 1)), pa.array(np.append(total, n))], ["slot", "n"])
 
-    rows = docs.select(text.cast("binary").alias("text")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text.cast("binary").alias("text")).mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(dims + 1)
     for slot, n in rows:
         out[slot] = n
@@ -99,16 +105,19 @@ def sampled(rows: DataFrame, key: Column, label: Column, per_label: int, max_lab
     return labelled.filter(place < share[F.col("_label")])
 
 
-def scored(docs: DataFrame, keep: list[str], text_col: str, score: Callable, schema: str, setup: Callable | None = None) -> DataFrame:
-    """docs' `keep` columns and what score(bytes, offsets, state) returns for blocks of whole texts (a list of arrays)."""
+def scored(docs: DataFrame, keep: list[str], text_col: str, score: Callable, schema: str, inside: str | None = None) -> DataFrame:
+    """docs' `keep` columns and what score(bytes, offsets) returns for blocks of whole texts (a list of arrays).
+
+    inside: the kept struct column that holds the text, so that it isn't sent a second time."""
+    store.small_batches(docs.sparkSession)
 
     def run(batches):
-        state = setup() if setup else None
         for batch in batches:
-            for lo, hi, data, at in blocks(batch.column(len(keep))):
-                new = score(data, at, state)
+            texts = pc.struct_field(batch.column(keep.index(inside)), text_col) if inside else batch.column(len(keep))
+            for lo, hi, data, at in blocks(texts):
+                new = score(data, at)
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in range(len(keep))], *map(pa.array, new)], [*keep, *[f"_{i}" for i in range(len(new))]])
 
-    own = docs.select(*keep, F.col(text_col).cast("binary").alias("_text"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{types}, {schema}" if keep else schema)
+    own = docs.select(*keep) if inside else docs.select(*keep, F.col(text_col).cast("binary").alias("_text"))
+    out = T.StructType(own.schema.fields[: len(keep)] + [T.StructField(n, T._parse_datatype_string(k)) for n, k in (c.split() for c in schema.split(", "))])
+    return own.mapInArrow(tidy(run), out)

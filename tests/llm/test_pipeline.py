@@ -6,7 +6,6 @@ import pytest
 from test_llm import by_brute_force, near_copies, table
 
 from dovetail.llm import ngram_join, packing, stages
-from dovetail.llm.text import shingles  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
