@@ -35,7 +35,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = ngram_jaccard_join(docs)
     first = store.materialize(found.filter(F.col("id").isNull() | (F.col("id") == F.col("component_id"))), "first")
     keep = first.filter(F.col("id").isNotNull()).select(F.col("id").alias("doc_id"))
-    out = docs.join(keep.distinct(), "doc_id", "left_semi")
+    out = docs.join(keep.distinct().hint("merge"), "doc_id", "left_semi")  # the list grows with the documents: never a broadcast
     if keep.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     lonely = docs.filter(F.col("doc_id").isNull())
