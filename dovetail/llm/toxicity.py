@@ -2,8 +2,8 @@
 
 Two interpolated Kneser-Ney bigram models of words, one for toxic and one for ordinary texts, are learnt from a
 bounded labelled sample (SAMPLE_PER_LABEL of each label).  Both back off through their own class's discounted word
-counts to shared continuation counts (in how many different contexts of either class a word stands), so an
-expression that is rare in one class has the same floor in both.  A text's score comes from the log-likelihood ratio
+counts to shared continuation counts (how many of the classes hold a word), so an expression that is rare in one
+class has the same floor in both.  A text's score comes from the log-likelihood ratio
 of its tokens, normalised by the square root of their number, through a logistic curve that is fitted on a part of the sample that the counts do not
 hold.
 
@@ -25,9 +25,9 @@ SAMPLE_PER_LABEL = 3000
 #: One in so many sampled texts sets the curve and stays out of the counts.
 CALIBRATE = 4
 #: Margins of which the calibrating texts choose one.
-MARGINS = (0.0, 0.4, 0.7, 1.0, 1.2, 1.4, 1.7, 2.0)
-#: A word, or a bigram, of at most so many contexts in a class is discounted wholly: its count goes to the backoff.
-WORD_CONTEXTS, GRAM_CONTEXTS = 20, 200
+MARGINS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
+#: A bigram of at most so many contexts in a class is discounted wholly: its count goes to the backoff.
+GRAM_CONTEXTS = 200
 _START = U64(0x7072656365646573)
 _EDGE = bytes(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Signs at the edge of a word are blanks, so that `word` and `word,` are one expression.
@@ -72,24 +72,34 @@ def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float
     return np.where(found[at] == keys, values[at], default)
 
 
+def discounted(n: np.ndarray) -> np.ndarray:
+    """Counts less the discount of ones, twos and more (by the counts of counts), which is less than the count."""
+    of = [max(1.0, float((n == k).sum())) for k in (1, 2, 3, 4)]
+    y = of[0] / (of[0] + 2 * of[1])
+    d = np.array([0.0] + [np.clip(k - (k + 1) * y * of[k] / of[k - 1], 0.1, k - 0.1) for k in (1, 2, 3)])
+    return n - d[np.minimum(n, 3).astype(int)]
+
+
 def kneser_ney(tokens: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> dict:
     """Log ratios from the tokens (context before, context, word, bigram) of both classes: of bigrams seen in either; of
     unseen ones by context and word.  Counts are continuation counts throughout (of words: different words before; of
-    bigrams: different words before them), so a passage that is copied in one class counts once."""
+    bigrams: different words before them), so a passage that is copied in one class counts once; of the shared words:
+    classes that hold them, so what a word has in one class doesn't raise its floor in the other."""
     every = [np.concatenate([tokens[c][j] for c in (0, 1)]) for j in range(4)]
     grams, at = np.unique(every[3], return_index=True)
     ctx_of, word_of = every[1][at], every[2][at]
     contexts = np.unique(every[1])
-    shared_keys, shared_n = tally(word_of)
+    shared_keys = np.unique(word_of)
+    n_words = {c: look(contexts_of(tokens[c][2], tokens[c][1]), shared_keys) for c in (0, 1)}
+    shared_n = sum((n_words[c] > 0).astype(float) for c in (0, 1))
     floor = 1.0 / (shared_n.sum() + len(shared_keys) + 1)  # an unknown word's continuation
     p_shared = (shared_n + 1) * floor
     at_context = np.searchsorted(contexts, ctx_of)
     word_log, gram_log, context_log = {}, {}, {}
     kept_grams = np.zeros(len(grams), bool)
     for c in (0, 1):
-        before, context, word, gram = tokens[c]
-        n_word = look(contexts_of(word, context), shared_keys)
-        total, own = max(1.0, n_word.sum()), np.where(n_word > WORD_CONTEXTS, n_word, 0)
+        before, _, _, gram = tokens[c]
+        total, own = max(1.0, n_words[c].sum()), discounted(n_words[c])
         lam = 1 - own.sum() / total * (1 - 1e-9)
         p_word = own / total + lam * p_shared
         word_log[c] = (np.log(p_word), np.log(lam * floor))

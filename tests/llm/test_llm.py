@@ -295,6 +295,31 @@ def test_toxicity_learns_rare_words(spark):
     assert np.mean([got[i]["predicted"] == int(i % 5 == 0) for i in held]) > 0.95
 
 
+def test_toxicity_counts_words_of_few_contexts(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    plain = {"en": [f"w{i}" for i in range(60)], "fr": [f"m{i}" for i in range(60)]}
+
+    def text(lang, toxic):
+        own = [rng.choice(plain[lang]) for _ in range(80)]
+        if toxic:
+            for _ in range(4):
+                own[rng.randrange(80)] = "idiot" if lang == "en" else rng.choice(["salaud", "ordure", "minable", "abruti"])
+        return " ".join(own)
+
+    kinds = [("fr" if i % 10 == 0 else "en", i % 2 == 0 and i % 4 == 0 or i % 10 == 0 and i % 3 == 0) for i in range(1200)]
+    docs = table(spark, [(i, text(*k), k[0]) for i, k in enumerate(kinds)])
+    # fewer than 20 French toxic texts are labelled: each of their words has at most 20 predecessors or so
+    french = [i for i, k in enumerate(kinds) if k == ("fr", True)]
+    known = set(range(600)) - set(french[14:])
+    labels = labelled(spark, [(i, 1, int(kinds[i][1]), "") for i in sorted(known)])
+    model = toxicity.fit(docs.select("doc_id", "text"), labels, F.lit(True))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, model, ["doc_id"]).collect()}
+    assert np.mean([got[i] for i in french if i >= 600]) > 0.8
+    assert np.mean([got[i] for i in range(600, 1200) if not kinds[i][1]]) < 0.02
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifier_edge_cases(spark, odd, none, module):
     from pyspark.sql import functions as F
