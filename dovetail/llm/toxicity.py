@@ -1,11 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney bigram models of words, one for toxic and one for ordinary texts, are learnt from a
-bounded labelled sample (SAMPLE_PER_LABEL of each label).  Both back off through their own class's discounted word
-counts to shared continuation counts (how many of the classes hold a word), so an expression that is rare in one
-class has the same floor in both.  A text's score comes from the log-likelihood ratio
-of its tokens, normalised by the square root of their number, through a logistic curve that is fitted on a part of the sample that the counts do not
-hold.
+Two interpolated Kneser-Ney models, of words and of bigrams of words, for toxic and for ordinary texts each, are
+learnt from a bounded labelled sample (SAMPLE_PER_LABEL of each label).  Every seen word and bigram keeps its count in
+a class less a discount below it.  Both classes' words back off to shared continuation counts (how many of the classes
+hold a word), both classes' bigrams to shared bigrams and these to the shared words, so an expression that is rare in
+one class has the same floor in both.  A text's score comes from the log-likelihood ratios of its words and of its
+bigrams, each sum normalised by the square root of their number, through a logistic curve of both that is fitted on a
+part of the sample that the counts do not hold: it weighs the two layers and chooses the margin
+of words.
 
 Edge cases.  Null and empty texts have the ratio 0.  Without labels of both kinds all scores are the prior (0.5
 without any).  An id with differing labels has the smaller.  Repeated rows are scored each.  Other columns are not
@@ -26,8 +28,10 @@ SAMPLE_PER_LABEL = 3000
 CALIBRATE = 4
 #: Margins of which the calibrating texts choose one.
 MARGINS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
-#: A bigram of at most so many contexts in a class is discounted wholly: its count goes to the backoff.
-GRAM_CONTEXTS = 200
+#: The discount of the shared bigrams' counts, which are 1 or 2.
+SHARED_DISCOUNT = 0.75
+#: The curve's ridge for words, for bigrams (many are seen once, so few calibrating texts fit their noise) and the height.
+RIDGE = (1e-2, 1.0, 1e-2)
 _START = U64(0x7072656365646573)
 _EDGE = bytes(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Signs at the edge of a word are blanks, so that `word` and `word,` are one expression.
@@ -82,75 +86,78 @@ def discounted(n: np.ndarray) -> np.ndarray:
 
 def kneser_ney(tokens: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> dict:
     """Log ratios from the tokens (context before, context, word, bigram) of both classes: of bigrams seen in either; of
-    unseen ones by context and word.  Counts are continuation counts throughout (of words: different words before; of
-    bigrams: different words before them), so a passage that is copied in one class counts once; of the shared words:
-    classes that hold them, so what a word has in one class doesn't raise its floor in the other."""
+    words; of the backoff in contexts, which unseen bigrams have.  Counts are continuation counts throughout (of words:
+    different words before; of bigrams: different words before them), so a passage that is copied in one class counts
+    once; of the shared words and bigrams: classes that hold them, so what one has in one class doesn't raise its floor
+    in the other."""
     every = [np.concatenate([tokens[c][j] for c in (0, 1)]) for j in range(4)]
     grams, at = np.unique(every[3], return_index=True)
     ctx_of, word_of = every[1][at], every[2][at]
-    contexts = np.unique(every[1])
-    shared_keys = np.unique(word_of)
-    n_words = {c: look(contexts_of(tokens[c][2], tokens[c][1]), shared_keys) for c in (0, 1)}
+    contexts, shared_keys = np.unique(every[1]), np.unique(word_of)
+    del every
+    at_context, at_word = np.searchsorted(contexts, ctx_of), np.searchsorted(shared_keys, word_of)
+    of_context = lambda x: np.bincount(at_context, x, minlength=len(contexts))
+    n_words, n_grams = {}, {}
+    for c in (0, 1):
+        before, context, word, gram = tokens[c]
+        n_words[c] = look(contexts_of(word, context), shared_keys)
+        n_grams[c] = look(contexts_of(gram, before), grams)
     shared_n = sum((n_words[c] > 0).astype(float) for c in (0, 1))
     floor = 1.0 / (shared_n.sum() + len(shared_keys) + 1)  # an unknown word's continuation
     p_shared = (shared_n + 1) * floor
-    at_context = np.searchsorted(contexts, ctx_of)
+    shared_n = sum((n_grams[c] > 0).astype(float) for c in (0, 1))
+    total = of_context(shared_n)
+    back = SHARED_DISCOUNT * of_context(np.ones(len(grams))) / np.maximum(total, 1)
+    p_gram = (shared_n - SHARED_DISCOUNT) / total[at_context] + back[at_context] * p_shared[at_word]
     word_log, gram_log, context_log = {}, {}, {}
-    kept_grams = np.zeros(len(grams), bool)
     for c in (0, 1):
-        before, _, _, gram = tokens[c]
         total, own = max(1.0, n_words[c].sum()), discounted(n_words[c])
         lam = 1 - own.sum() / total * (1 - 1e-9)
-        p_word = own / total + lam * p_shared
-        word_log[c] = (np.log(p_word), np.log(lam * floor))
-        n_gram = look(contexts_of(gram, before), grams)
-        own = np.where(n_gram > GRAM_CONTEXTS, n_gram, 0)
-        kept_grams |= own > 0
-        n_ctx = np.maximum(np.bincount(at_context, n_gram, minlength=len(contexts)), 1)
-        back = 1 - np.bincount(at_context, own, minlength=len(contexts)) / n_ctx * (1 - 1e-6)
+        word_log[c] = (np.log(own / total + lam * p_shared), np.log(lam * floor))
+        own, n_ctx = discounted(n_grams[c]), np.maximum(of_context(n_grams[c]), 1)
+        back = 1 - of_context(own) / n_ctx * (1 - 1e-6)
         context_log[c] = np.log(back)
-        gram_log[c] = np.log(own / n_ctx[at_context] + back[at_context] * look((shared_keys, p_word), word_of))
-    # what is as in the backoff is left out of the tables: they hold what some class keeps
+        gram_log[c] = np.log(own / n_ctx[at_context] + back[at_context] * p_gram)
     ratio = lambda logs: (logs[1] - logs[0]).astype(np.float32)
-    unknown = float(word_log[1][1] - word_log[0][1])
-    words_ = np.abs(ratio({c: word_log[c][0] for c in (0, 1)}) - unknown) > 1e-6
-    contexts_ = np.abs(ratio(context_log)) > 1e-6
     return {
-        "grams": (grams[kept_grams], ratio(gram_log)[kept_grams]),
-        "words": (shared_keys[words_], ratio({c: word_log[c][0] for c in (0, 1)})[words_]),
-        "contexts": (contexts[contexts_], ratio(context_log)[contexts_]),
-        "unknown": unknown,
+        "grams": (grams, ratio(gram_log)),
+        "words": (shared_keys, ratio({c: word_log[c][0] for c in (0, 1)})),
+        "contexts": (contexts, ratio(context_log)),
+        "unknown": float(word_log[1][1] - word_log[0][1]),
     }
 
 
 def ratios(data: np.ndarray, at: np.ndarray, model: dict, margins: tuple[float, ...]) -> list[np.ndarray]:
-    """For each margin: each text's log-likelihood ratio of the classes over the square root of its length, which has
-    one spread at all lengths.  A token counts by what its ratio has beyond the margin: within it stand the small
-    ratios of all words of a language or a register that one class's sample holds more of."""
+    """For each margin the words', then the bigrams' log-likelihood ratio of the classes of each text over the square
+    root of its length, which has one spread at all lengths.  A word counts by what its ratio has beyond the margin:
+    within it stand the small ratios of all words of a language or a register that one class's sample holds more of."""
     doc, _, context, word, gram = pairs(data, at)
-    value = look(model["grams"], gram, np.nan)
-    new = np.isnan(value)
-    value[new] = look(model["words"], word[new], model["unknown"]) + look(model["contexts"], context[new])
+    of_word = look(model["words"], word, model["unknown"])
+    of_gram = look(model["grams"], gram, np.nan)
+    new = np.isnan(of_gram)
+    of_gram[new] = look(model["contexts"], context[new])
     n = np.sqrt(np.maximum(np.bincount(doc, minlength=len(at) - 1), 1))
-    return [np.bincount(doc, np.sign(value) * np.maximum(np.abs(value) - m, 0), minlength=len(at) - 1) / n for m in margins]
+    total = lambda x: np.bincount(doc, x, minlength=len(at) - 1) / n
+    return [*[total(np.sign(of_word) * np.maximum(np.abs(of_word) - m, 0)) for m in margins], total(of_gram)]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float, float, float]:
-    """Mean, spread, slope and height of a weighted logistic curve (Newton's steps, a little ridge)."""
-    m, s = float(x.mean()), float(x.std()) or 1.0
-    a = np.stack([(x - m) / s, np.ones(len(x))], 1)
-    b = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, spreads, slopes with the height of a weighted logistic curve of words and bigrams (Newton's steps)."""
+    m, s = x.mean(0), x.std(0)
+    s = np.where(s > 0, s, 1)
+    a = np.c_[(x - m) / s, np.ones(len(x))]
+    b = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        g = a.T @ (weight * (p - y)) + 1e-3 * b
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        g = a.T @ (weight * (p - y)) + RIDGE * b
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(RIDGE)
         b -= np.linalg.solve(h, g)
-    return m, s, float(b[0]), float(b[1])
+    return m, s, b
 
 
-def curved(x: np.ndarray, curve: tuple[float, float, float, float]) -> np.ndarray:
-    m, s, a, b = curve
-    return 1 / (1 + np.exp(-np.clip(a * (x - m) / s + b, -30, 30)))
+def curved(x: np.ndarray, curve: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    m, s, b = curve
+    return 1 / (1 + np.exp(-np.clip((x - m) / s @ b[:-1] + b[-1], -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id") -> dict:
@@ -173,18 +180,20 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label_col: str = "toxic", t
         tokens[c] = in_context(np.frombuffer(b"".join(own), U64), np.cumsum([0] + [len(w) // 8 for w in own]))
     del learn
     model |= kneser_ney(tokens)
-    names = ", ".join(f"x{i} double" for i in range(len(MARGINS)))
+    n = len(MARGINS)
+    names = ", ".join(f"x{i} double" for i in range(n + 1))
     held = vectors.scored(parted.filter(F.col("_part")), ["_label"], text_col, lambda data, at: ratios(data, at, model, MARGINS), names).collect()
-    x, y = np.array([r[1:] for r in held], float).reshape(-1, len(MARGINS)), np.array([r[0] for r in held], float)
+    x, y = np.array([r[1:] for r in held], float).reshape(-1, n + 1), np.array([r[0] for r in held], float)
     if len(set(y)) == 2:
         share = {v: sizes[v] / max(1, int((y == v).sum())) for v in (0, 1)}
         weight = np.where(y == 1, share[1], share[0]) / np.mean([share[1], share[0]])
-        curves = [logistic(x[:, i], y, weight) for i in range(len(MARGINS))]
-        losses = [-(weight * np.log(np.where(y == 1, p, 1 - p) + 1e-9)).sum() for p in (curved(x[:, i], curves[i]) for i in range(len(MARGINS)))]
+        curves = [logistic(x[:, [i, n]], y, weight) for i in range(n)]
+        losses = [-(weight * np.log(np.where(y == 1, p, 1 - p) + 1e-9)).sum() for p in (curved(x[:, [i, n]], curves[i]) for i in range(n))]
         best = int(np.argmin(losses))
         model |= {"margin": MARGINS[best], "curve": curves[best]}
     else:
-        model |= {"margin": 1.0, "curve": (0.0, 1.0, 10.0, float(np.log(max(model["prior"], 1e-6) / max(1 - model["prior"], 1e-6))))}
+        height = float(np.log(max(model["prior"], 1e-6) / max(1 - model["prior"], 1e-6)))
+        model |= {"margin": 1.0, "curve": (np.zeros(2), np.ones(2), np.array([10.0, 10.0, height]))}
     return model
 
 
@@ -194,7 +203,7 @@ def classify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
     def score(data, at):
         if "curve" not in model:
             return [np.full(len(at) - 1, model["prior"])]
-        return [curved(ratios(data, at, model, (model["margin"],))[0], model["curve"])]
+        return [curved(np.stack(ratios(data, at, model, (model["margin"],)), 1), model["curve"])]
 
     return vectors.scored(docs, keep, text_col, score, "score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

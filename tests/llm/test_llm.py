@@ -320,6 +320,29 @@ def test_toxicity_counts_words_of_few_contexts(spark):
     assert np.mean([got[i] for i in range(600, 1200) if not kinds[i][1]]) < 0.02
 
 
+def test_toxicity_learns_expressions_of_ordinary_words(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    plain = [f"w{i}" for i in range(40)]
+
+    def text(toxic):
+        own = [rng.choice(plain) for _ in range(60)]
+        for _ in range(6):  # the same words in both: together in toxic texts only
+            at = rng.randrange(58)
+            own[at : at + 2] = ["get", "lost"] if toxic else [rng.choice(["get", "lost"]), rng.choice(plain)]
+            if not toxic:
+                own[rng.randrange(60)] = "get"
+                own[rng.randrange(60)] = "lost"
+        return " ".join(own).replace("get lost", "get lost" if toxic else "get w0")
+
+    docs = table(spark, [(i, text(i % 3 == 0), None) for i in range(900)])
+    model = toxicity.fit(docs.select("doc_id", "text"), labelled(spark, [(i, 1, int(i % 3 == 0), "") for i in range(600)]), F.lit(True))
+    assert len(model["grams"][0]) > 1000
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, model, ["doc_id"]).collect()}
+    assert np.mean([got[i] == int(i % 3 == 0) for i in range(600, 900)]) > 0.95
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifier_edge_cases(spark, odd, none, module):
     from pyspark.sql import functions as F
