@@ -2,8 +2,9 @@
 
 Texts are normalised TF-IDF vectors of hashed byte n-grams (letters only).  Document counts for the IDF cover all
 training rows; centroids, several for each language, are spherical k-means clusters of a bounded sample
-(SAMPLE_PER_LANG texts of each language).  The language of the nearest centroid by cosine is predicted; a text
-farther from its centroid than nearly all of that centroid's own texts are, with a margin, is rejected.
+(SAMPLE_PER_LANG texts of each language, equal ones counted once).  The language of the nearest centroid by cosine is
+predicted; a text farther from its centroid than nearly all of that centroid's own texts, and than nearly all of the
+language's texts are from theirs, with a margin, is rejected.  So a cluster of copies doesn't reject what resembles it.
 
 Edge cases.  Null texts and texts without a letter: `und`, score 0, rejected.  Rows with a null language teach
 nothing.  No training rows: everything is `und`.  Repeated rows count as often as they stand.  Other columns are not
@@ -54,17 +55,23 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     rows = vectors.scored(sample, ["_label"], text_col, score, "x binary").collect()
     langs, centres, radii = [], [], []
-    order = sorted(rows, key=lambda r: (r[0], bytes(r[1])))
+    order = sorted({(r[0], bytes(r[1])) for r in rows})
+    floors, every = [], []
     for lang in sorted({r[0] for r in order}):
         x = np.stack([np.frombuffer(r[1], np.float16) for r in order if r[0] == lang]).astype(np.float32)
         own = cluster(x, CLUSTERS)
         near = x @ own.T
         mine = near.argmax(1)
+        every.append(1 - near.max(1))
         for j in range(len(own)):
             distance = 1 - near[mine == j, j] if (mine == j).any() else np.ones(1)
             langs.append(lang)
             centres.append(own[j])
-            radii.append(min(1.0, float(np.quantile(distance, QUANTILE)) * MARGIN))
+            radii.append(float(np.quantile(distance, QUANTILE)))
+            floors.append(float(np.quantile(every[-1], QUANTILE)) if len(x) > CLUSTERS else None)
+    # texts of a language that are all centroids tell no distance: all languages' are taken
+    pooled = float(np.quantile(np.concatenate(every), QUANTILE))
+    radii = [min(1.0, max(r, pooled if f is None else f) * MARGIN) for r, f in zip(radii, floors, strict=True)]
     return {"langs": langs, "centres": np.stack(centres), "radii": np.array(radii), "idf": idf}
 
 

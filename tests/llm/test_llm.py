@@ -136,6 +136,27 @@ def test_language_edge_cases(odd, none):
     assert language_id.identify(none, model, ["doc_id"]).count() == 0
 
 
+def test_language_copies_do_not_reject_what_shares_text(spark):
+    rng = random.Random(4)
+    vocabulary = {k: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(1500)] for k, letters in (("de", "abcdefghiklmn"), ("fr", "hiklmnoprstuvz"))}
+
+    def text(lang, n=150):
+        return " ".join(vocabulary[lang][int(1500 * rng.random() ** 2)] for _ in range(n))
+
+    def odd_text():
+        return " ".join(rng.choice(["xqzw", "jjyx", "wvqk"]) for _ in range(150))
+
+    shared = text("de")
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["de", "fr"] * 150)] + [(1000 + i, shared, "de") for i in range(200)]
+    model = language_id.fit(table(spark, rows))
+    unseen = [(2000 + i, shared + " " + text("de"), None) for i in range(60)] + [(3000 + i, odd_text(), None) for i in range(10)]
+    got = {r["doc_id"]: r for r in language_id.identify(table(spark, unseen), model, ["doc_id"]).collect()}
+    assert model["radii"].min() > 0.1
+    assert all(got[2000 + i]["lang_pred"] == "de" for i in range(60))
+    assert np.mean([got[2000 + i]["rejected"] for i in range(60)]) < 0.05
+    assert all(got[3000 + i]["rejected"] for i in range(10))
+
+
 def test_gram_counts_stay_within_texts():
     data, at = data_of(["abc", "", "ab"])
     got = vectors.counts(data, at, np.arange(256, dtype=np.uint8), (2,), 64)
