@@ -161,4 +161,4 @@ def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return encoded(store.table(spark, sf_dir, "documents"), path, with_ids=False).withColumnRenamed("id", "doc_id")
+    return encoded(store.table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")

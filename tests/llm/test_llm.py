@@ -278,6 +278,16 @@ def test_sentencepiece_finds_best_paths_and_round_trips(spark):
         assert m.encode(x) == ids
 
 
+def test_sentencepiece_query_gives_the_ids(spark):
+    import public_tokenizers
+
+    model = sentencepiece.load(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in sentencepiece.op5_sentencepiece(spark, SF).collect():
+        assert len(r["ids"]) == r["n_ids"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        assert model.decode(r["ids"]) == (texts[r["doc_id"]] or "")
+
+
 def test_sentencepiece_edge_cases(odd, none):
     import public_tokenizers
 
