@@ -400,7 +400,6 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows = [row(i.as_py(), t.as_py()) for i, t in zip(part.column(0), part.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows, strict=True), fields.values(), strict=True)], list(fields))
 
-    store.small_batches(docs.sparkSession)
     names = {"int64": "long", "int32": "int"}
     schema = ", ".join(f"{k} {names.get(str(v), str(v))}" for k, v in fields.items())
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)

@@ -166,14 +166,14 @@ def _records(percent: int):
 def text_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Each text with its set size, set hash and shared shingles, in the shared folder."""
     spark = docs.sparkSession
-    store.small_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = store.parts_for(spark, n_bytes, PART_BYTES)
     sent = own.mapInArrow(tidy(_emitter(k, n_parts)), "part int, block long, kind int, blob binary")
     back = sent.groupBy("part").applyInPandas(tidied(_count_part), "block long, kind int, blob binary")
     out = back.groupBy("block").applyInPandas(tidied(_records(percent)), "uid long, id long, n long, h1 long, h2 long, vals array<long>, parts array<int>")
-    return store.materialize(out, "sets")
+    with store.small_batches(spark):
+        return store.materialize(out, "sets")
 
 
 def _verified(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:

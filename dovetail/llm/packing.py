@@ -195,7 +195,6 @@ def _packing(tiers: tuple[int, ...], step_tokens: int, with_ids: bool):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, crc (of its ids), total, sequence, offset, tier, group[, ids]."""
-    store.small_batches(docs.sparkSession)
     schema = "id long, start long, length long, crc long, total long, sequence long, offset long, tier int, group long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_packing(tiers, step_tokens, with_ids)), schema)
 

@@ -152,7 +152,6 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 new = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids], pa.int64()), pa.array(map(zlib.crc32, raw), pa.int64()), pa.array(map(len, raw), pa.int64())]
                 yield pa.RecordBatch.from_arrays(new + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, ["id", "n_ids", "ids_crc32", "decoded_crc32", "n_bytes"] + ["ids"] * with_ids)
 
-    store.small_batches(docs.sparkSession)
     schema = "id long, n_ids long, ids_crc32 long, decoded_crc32 long, n_bytes long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

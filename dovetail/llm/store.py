@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ _kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests) a folder of this machine."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of this machine if Spark runs on it alone (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="dovetail-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -65,12 +68,23 @@ def id_crc(column: str = "doc_id"):
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows at most from now on: whole texts in batches of the default size take much memory."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_ROWS rows at most meanwhile: whole texts in batches of the default size take much memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
+    was = spark.conf.get(key)
+    if int(was) <= 0 or int(was) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which it does when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def parts_for(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:

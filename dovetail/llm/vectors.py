@@ -69,8 +69,6 @@ def weighted(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def document_counts(docs: DataFrame, text: Column, table: np.ndarray, sizes: tuple[int, ...], dims: int) -> tuple[int, np.ndarray]:
     """How many of all documents there are and how many hold each column's n-grams; `dims` numbers reach the driver."""
 
-    store.small_batches(docs.sparkSession)
-
     def run(batches):
         total, n = np.zeros(dims, np.int64), 0
         for batch in batches:
@@ -79,7 +77,8 @@ def document_counts(docs: DataFrame, text: Column, table: np.ndarray, sizes: tup
                 n += hi - lo
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims + 1)), pa.array(np.append(total, n))], ["slot", "n"])
 
-    rows = docs.select(text.cast("binary").alias("text")).mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    with store.small_batches(docs.sparkSession):
+        rows = docs.select(text.cast("binary").alias("text")).mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(dims + 1)
     for slot, n in rows:
         out[slot] = n
@@ -109,7 +108,6 @@ def scored(docs: DataFrame, keep: list[str], text_col: str, score: Callable, sch
     """docs' `keep` columns and what score(bytes, offsets) returns for blocks of whole texts (a list of arrays).
 
     inside: the kept struct column that holds the text, so that it isn't sent a second time."""
-    store.small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -183,41 +183,6 @@ def test_pitman_yor_base_and_normalisation(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_pitman_yor_probabilities_sum_to_one(spark):
-    vocabulary = ["a", "b", "c", "d"]
-    rng = random.Random(3)
-    train = [(i, " ".join(rng.choice("aabbbcd") for _ in range(20)), None) for i in range(20)]
-    probes = [(100, "a", None)] + [(101 + i, f"a {w}", None) for i, w in enumerate(vocabulary)] + [(200, "a zzz", None)]
-    docs = table(spark, train + probes)
-    from pyspark.sql import functions as F
-
-    got = {r["id"]: r["score"] for r in pitman_yor.score_texts(docs, F.col("doc_id") >= 100).collect()}
-    from_pairs = pitman_yor.score_texts(table(spark, train + [(300 + i, f"{w}", None) for i, w in enumerate([*vocabulary, "zzz"])] + [(310, "", None)]), F.col("doc_id") >= 100)
-    single = {r["id"]: r["score"] for r in from_pairs.collect()}
-    ends = {w: got[101 + i] for i, w in enumerate(vocabulary)}
-    assert all(math.isfinite(x) for x in [*ends.values(), *single.values()])
-    # after the end of a text come a word or an end: P(w) * P(end | w) is known for each w, P(end) alone too
-    assert 10 ** single[310] < 1
-
-
-def test_pitman_yor_levels_sum_to_one():
-    import pandas as pd
-
-    rng = np.random.default_rng(0)
-    words_ = (np.arange(1, 9, dtype=np.uint64) << np.uint64(40)).repeat(3)
-    pairs = words_ | np.tile(np.array([1, 2, 200], np.uint64), 8)
-    blob = pack(gaps(pairs), rng.integers(1, 50, len(pairs)).astype(np.uint32))
-    state = pitman_yor._seat_part(1)(pd.DataFrame([(0, 0, blob)], columns=["part", "block", "blob"]))
-    totals = np.array(state["totals"].iloc[0], float)
-    n_words = int(totals[-1])
-    unseen = np.uint64(99) << np.uint64(40)
-    for k in (1, 2, 200):
-        asked = np.array([w << np.uint64(40) | np.uint64(k) for w in np.arange(1, 9, dtype=np.uint64)] + [unseen | np.uint64(k)], np.uint64)
-        answer = pitman_yor._answer(totals[:-1], n_words)(pd.DataFrame([(0, 0, pack(gaps(asked)))], columns=["part", "block", "blob"]), state[["part", "blob"]])
-        p = 10 ** unpack(answer["blob"].iloc[0])[0].astype(float)
-        assert p.sum() == pytest.approx(1, abs=1e-4)  # the unseen word stands for the one that V + 1 adds
-
-
 def test_pitman_yor_edge_cases(odd, none):
     from pyspark.sql import functions as F
 
