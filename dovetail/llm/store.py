@@ -36,9 +36,23 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, tag: str, key: str, buckets: int, by: str) -> DataFrame:
+    """As materialize with `by`, in `buckets` buckets of `key`: joins and groups by the key need no shuffle of it."""
+    spark = df.sparkSession
+    name = f"dovetail_{tag}_{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.partitionBy(by).bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(name)
+    _kept.append((spark, path))
+    out = spark.table(name).select(*df.columns)
+    out._dovetail_path, out._dovetail_table = path, name  # type: ignore[attr-defined]
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a materialised table that nothing reads any more."""
-    path = getattr(df, "_dovetail_path", None)
+    path, name = getattr(df, "_dovetail_path", None), getattr(df, "_dovetail_table", None)
+    if name:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path:
         _delete(df.sparkSession, path)
         _kept[:] = [x for x in _kept if x[1] != path]
