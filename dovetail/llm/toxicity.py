@@ -30,7 +30,7 @@ from dovetail.llm import labelled, store, vectors
 from dovetail.llm.blobs import pack, tidied, tidy, unpack
 from dovetail.llm.text import U64, chunks, mix, owners, words
 
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 3000, 8 << 20
+SAMPLE_PER_LABEL, SAMPLE_BYTES = 3000, 4 << 20
 #: One in so many sampled texts sets the curve and stays out of the counts meanwhile.
 CALIBRATE = 4
 #: Shares of a toxic text's tokens that the toxic words and bigrams give, of which the calibrating texts choose one pair.
@@ -109,7 +109,8 @@ def counted(sample: DataFrame, text_col: str) -> list[tuple[np.ndarray, ...]]:
     out = []
     for kind in (0, 1):
         own = [unpack(r["blob"]) for r in sorted(rows, key=lambda r: r["r"]) if r["kind"] == kind]
-        out.append(_summed(own) if own else tuple(np.zeros(0, t) for t in (U64, U64, U64, np.uint32, np.uint32)))
+        kinds = (U64, U64, U64, np.uint32, np.uint32)  # the ranges ascend and share no key
+        out.append(tuple(np.concatenate([x[j] for x in own]) if own else np.zeros(0, t) for j, t in enumerate(kinds)))
     return out
 
 
