@@ -38,6 +38,8 @@ HEAVY = 16
 PART_BYTES = 24 << 20
 BUCKETS = 16
 STAR_ROUNDS = 2
+#: A posting list of so many texts, by its count, is dealt to one more task.
+LIST = 256
 #: Texts of a block when a cluster is compared block by block.
 GROUP = 512
 
@@ -45,7 +47,7 @@ GROUP = 512
 def _emitter(k: int, n_parts: int):
     edges = np.array([((p << KEY_BITS) // n_parts) << DOC_BITS for p in range(1, n_parts)], U64)
 
-    def flush(block: int, combos: list, ids: list, known: list):
+    def flush(block: int, combos: list, ids: list, known: list, tags: list):
         n_docs = sum(map(len, ids))
         both = np.sort(np.concatenate(combos)) if combos else np.zeros(0, U64)
         if len(both):
@@ -66,27 +68,29 @@ def _emitter(k: int, n_parts: int):
         for p in range(n_parts):
             if a[p] < a[p + 1] or b[p] < b[p + 1]:
                 yield p, block, 0, pack(gaps(light[a[p] : a[p + 1]]), gaps(hot_keys[b[p] : b[p + 1]]), hot_counts[b[p] : b[p + 1]])
-        yield block % n_parts, block, 1, pack(np.concatenate(ids), np.concatenate(known), size.astype(np.int64), h1, h2, gaps(hot))
+        yield block % n_parts, block, 1, pack(np.concatenate(ids), np.concatenate(known), np.concatenate(tags), size.astype(np.int64), h1, h2, gaps(hot))
 
     def rows(batches):
         block = TaskContext.get().partitionId() << 24
-        combos, ids, known, n_docs, n_bytes = [], [], [], 0, 0
+        combos, ids, known, tags, n_docs, n_bytes = [], [], [], [], 0, 0
         for batch in batches:
             id_column = batch.column(0)
             valid = np.array(id_column.is_valid())
             numbers = id_column.fill_null(0).to_numpy(zero_copy_only=False)
+            marks = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, data, at in chunks(batch.column(1)):
                 if n_docs and (n_docs + hi - lo > BLOCK_DOCS or n_bytes + len(data) > BLOCK_BYTES):
-                    yield from flush(block, combos, ids, known)
+                    yield from flush(block, combos, ids, known, tags)
                     block += 1
-                    combos, ids, known, n_docs, n_bytes = [], [], [], 0, 0
+                    combos, ids, known, tags, n_docs, n_bytes = [], [], [], [], 0, 0
                 s, d = shingles(*words(data, at), k)
                 combos.append(s >> U64(64 - KEY_BITS) << U64(DOC_BITS) | (d + n_docs).astype(U64))
                 ids.append(numbers[lo:hi])
                 known.append(valid[lo:hi].astype(np.uint8))
+                tags.append(marks[lo:hi])
                 n_docs, n_bytes = n_docs + hi - lo, n_bytes + len(data)
         if n_docs:
-            yield from flush(block, combos, ids, known)
+            yield from flush(block, combos, ids, known, tags)
 
     def run(batches):
         for p, block, kind, blob in rows(batches):
@@ -126,7 +130,7 @@ def _records(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of one block: each text with its size, its set's hash and, if it can have a partner, its ordered shared shingles."""
         block = int(pdf["block"].iloc[0])
-        ids, known, size, h1, h2, hot = unpack(next(x for k, x in zip(pdf["kind"], pdf["blob"], strict=True) if k == 1))
+        ids, known, tags, size, h1, h2, hot = unpack(next(x for k, x in zip(pdf["kind"], pdf["blob"], strict=True) if k == 1))
         hot, took = ungap(hot), [unpack(x) for k, x in zip(pdf["kind"], pdf["blob"], strict=True) if k == 0]
         none = [np.zeros(0, U64)]
         light = np.concatenate([*none, *[ungap(x[0]) for x in took]])
@@ -153,6 +157,7 @@ def _records(percent: int):
         return pd.DataFrame({
             "uid": (block << DOC_BITS) + np.arange(len(size)),
             "id": [int(i) if ok else None for i, ok in zip(ids, known, strict=True)],
+            "tag": tags,
             "n": size,
             "h1": h1.view(np.int64),
             "h2": h2.view(np.int64),
@@ -163,15 +168,15 @@ def _records(percent: int):
     return run
 
 
-def text_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Each text with its set size, set hash and shared shingles, in the shared folder."""
+def text_sets(docs: DataFrame, id_col: str, text_col: str, tag_col: str | None, k: int, percent: int) -> DataFrame:
+    """Each text with its tag, set size, set hash and shared shingles, in the shared folder."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), (F.col(tag_col) if tag_col else F.lit(0)).cast("long").alias("tag"))
     n_bytes = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = store.parts_for(spark, n_bytes, PART_BYTES)
     sent = own.mapInArrow(tidy(_emitter(k, n_parts)), "part int, block long, kind int, blob binary")
     back = sent.groupBy("part").applyInPandas(tidied(_count_part), "block long, kind int, blob binary")
-    out = back.groupBy("block").applyInPandas(tidied(_records(percent)), "uid long, id long, n long, h1 long, h2 long, vals array<long>, parts array<int>")
+    out = back.groupBy("block").applyInPandas(tidied(_records(percent)), "uid long, id long, tag long, n long, h1 long, h2 long, vals array<long>, parts array<int>")
     with store.small_batches(spark):
         return store.materialize(out, "sets")
 
@@ -294,15 +299,34 @@ def _block_links(alive: DataFrame, label: DataFrame, records: DataFrame, percent
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each text: uid, id, n_shingles, component_id (see the module's text for edge cases)."""
-    every = text_sets(docs, id_col, text_col, k, percent)
+    joined, alone = _joined(docs, id_col, text_col, None, k, percent)
+    first = joined.groupBy("label").agg(F.min("id").alias("component_id"))
+    with_first = joined.join(first, "label").select("uid", "id", "n", "component_id")
+    return with_first.union(alone.select("uid", "id", "n", F.col("id").alias("component_id"))).withColumnRenamed("n", "n_shingles")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag_col: str = "tag", k: int = 5, percent: int = 80) -> DataFrame:
+    """(id, tag) of one text of each component: the smallest id, null ones last, then the smallest tag."""
+    joined, alone = _joined(docs, id_col, text_col, tag_col, k, percent)
+    first = joined.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("x")).select("x.id", "x.tag")
+    return first.union(alone.select("id", "tag"))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, tag_col: str | None, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Texts that can have partners with their component's label, and the others."""
+    every = text_sets(docs, id_col, text_col, tag_col, k, percent)
     can = every.filter(F.col("vals").isNotNull())
-    classes = store.materialize(can.groupBy("n", "h1", "h2").agg(F.min("uid").alias("uid"), F.min("id").alias("first_id")), "classes")
+    classes = store.materialize(can.groupBy("n", "h1", "h2").agg(F.min("uid").alias("uid")), "classes")
     records = store.materialize(can.join(classes.select("uid"), "uid", "left_semi").select("uid", "n", "vals", "parts"), "records")
     least = F.floor((F.col("n") * percent + 99) / 100).cast("long")
     lone = F.col("n") - F.size("vals")
     spread = records.select("uid", "n", lone.alias("lone"), F.posexplode(F.slice("vals", F.lit(1), (F.col("n") - least + 1 - lone).cast("int"))).alias("pos", "val"))
     alive = store.materialize(spread.select("val", "uid", "n", (F.col("lone") + F.col("pos")).alias("pos"), F.col("uid").alias("comp")), "postings")
 
+    def salts(val):
+        """Tasks that a posting list is dealt to: its length bounds (see _count_part) are the value's upper bits."""
+        return F.greatest(F.lit(1), F.shiftright(val, KEY_BITS).cast("int") / F.lit(LIST)).cast("int")
+
     def may_link(n1, p1, n2, p2):
         """Length filter, and the positional filter at a common shingle."""
         total = F.lit(percent) * (n1 + n2)
@@ -311,8 +335,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = None
     for _ in range(STAR_ROUNDS):
-        lists = alive.groupBy("val").agg(F.min(F.struct("uid", "n", "pos", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("val", "c")
-        open_ = alive.join(lists, "val").filter("uid <> c.uid")
+        lists = alive.groupBy("val").agg(F.min(F.struct("uid", "n", "pos", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("val", "c", F.explode(F.sequence(F.lit(0), salts(F.col("val")) - 1)).alias("salt"))
+        dealt = alive.withColumn("salt", F.pmod(F.xxhash64("uid"), salts(F.col("val"))).cast("int"))
+        open_ = dealt.join(lists, ["val", "salt"]).filter("uid <> c.uid")
         left = store.materialize(open_.select("val", "uid", "n", "pos", "comp", F.col("c.uid").alias("cu"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cp"), F.col("c.comp").alias("cc")), "open")
         pairs = left.filter((F.col("comp") != F.col("cc")) & may_link(F.col("n"), F.col("pos"), F.col("cn"), F.col("cp"))).select(F.col("cu").alias("a"), F.col("uid").alias("b")).distinct()
         found = store.materialize(_verified(pairs, records, percent), "links")
@@ -327,12 +352,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = store.materialize(_block_links(alive, label, records, percent), "links")
         links = links.union(found)
         label = components(links)
-    of_class = classes.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    first = of_class.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = of_class.join(first, "label").select("n", "h1", "h2", "component_id")
-    joined = can.select("uid", "id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"]).select("uid", "id", "n", "component_id")
-    alone = every.filter(F.col("vals").isNull()).select("uid", "id", "n", F.col("id").alias("component_id"))
-    return joined.union(alone).withColumnRenamed("n", "n_shingles")
+    of_class = classes.join(label.withColumnRenamed("node", "uid"), "uid", "left").select("n", "h1", "h2", F.coalesce("label", "uid").alias("label"))
+    joined = can.select("uid", "id", "tag", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"]).select("uid", "id", "tag", "n", "label")
+    return joined, every.filter(F.col("vals").isNull()).select("uid", "id", "tag", "n")
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

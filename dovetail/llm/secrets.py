@@ -10,7 +10,8 @@ matches' lengths, in code points, are the matches' starts.
 
 Edge cases.  Null and empty texts have no spans (the hash is that of an empty string).  A null repository or owner
 counts as one of its own kind.  Repeated rows are scanned each and don't add owners.  The same value of several kinds
-is classified once.  An empty table gives no rows.  Columns whose names start with `_s_` are this operator's own.
+is classified once.  An empty table gives no rows.  Kept columns lie in one struct, so their names can't clash.  A table
+with one column of origin has it for repository and owner; then both frequencies are the same number.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ KINDS = {
 }
 #: A value of so many owners or repositories is an example; a live one has so many different characters at least.
 EXAMPLE_OWNERS, LIVE_OWNERS, LIVE_LENGTH, LIVE_DISTINCT = 3, 1, 12, 8
+SALTS = 16
 SPAN = "struct<s:int,k:int,e:int,vs:int,h:bigint,live:boolean>"
 
 
@@ -62,29 +64,37 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "source", owner_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns of docs (all, if not given) with _s_base (base spans), _s_all (with live spans) and _s_redact (spans to take out: all but examples).
+def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of the `keep` columns of docs, or of all), base (spans), every (with live spans) and redact (spans to
+    take out: all but examples).  Without owner_col the repository is the owner.
 
     The scan is written once to the shared folder: corpus statistics and each row's decision read it from there."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keep = docs.columns if keep is None else keep
-    spans = docs.select(*keep, F.col(repo_col).alias("_s_repo"), F.col(owner_col).alias("_s_owner"), F.monotonically_increasing_id().alias("_s_row"), F.concat(*[spans_of(text, k) for k in range(len(KINDS))]).alias("_s_base"))
+    own = lambda c: F.col(quoted(c))
+    text = F.coalesce(own(text_col), F.lit(""))
+    row = F.struct("*") if keep is None else F.struct(*[own(c) for c in keep])
+    spans = docs.select(row.alias("row"), own(repo_col).alias("repo"), own(owner_col or repo_col).alias("owner"), F.monotonically_increasing_id().alias("number"), F.concat(*[spans_of(text, k) for k in range(len(KINDS))]).alias("base"))
     seen = store.materialize(spans, "secrets")
-    plain = seen.filter(F.size("_s_base") == 0).select(*keep, "_s_base", F.col("_s_base").alias("_s_all"), F.col("_s_base").alias("_s_redact"))
-    each = seen.filter(F.size("_s_base") > 0).select("_s_row", "_s_repo", "_s_owner", F.explode("_s_base").alias("_s_x"))
-    owned = each.select(F.col("_s_x.h").alias("h"), "_s_repo", "_s_owner").distinct()
-    repos = owned.select("h", "_s_repo").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("repos"))
-    owners = owned.select("h", "_s_owner").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("owners"))
+    plain = seen.filter(F.size("base") == 0).select("row", "base", F.col("base").alias("every"), F.col("base").alias("redact"))
+    each = seen.filter(F.size("base") > 0).select("number", "repo", "owner", F.explode("base").alias("x")).withColumn("h", F.col("x.h"))
+    owned = each.select("h", "repo", "owner").distinct()
+    repos = owned.select("h", "repo").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("repos"))
+    owners = owned.select("h", "owner").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("owners"))
     classes = owners.join(repos, "h").select("h", (F.greatest("owners", "repos") >= EXAMPLE_OWNERS).alias("example"), (F.col("owners") <= LIVE_OWNERS).alias("own"))
-    judged = each.withColumn("h", F.col("_s_x.h")).join(classes, "h")
-    by_row = judged.groupBy("_s_row").agg(F.collect_list(F.struct("_s_x", "example", "own")).alias("_s_judged"))
-    to_live = lambda y: F.struct(y["_s_x"]["vs"].alias("s"), F.lit(len(KINDS)).alias("k"), y["_s_x"]["e"].alias("e"), y["_s_x"]["vs"].alias("vs"), y["_s_x"]["h"].alias("h"), y["_s_x"]["live"].alias("live"))
-    live = F.array_distinct(F.transform(F.filter("_s_judged", lambda y: y["own"] & y["_s_x"]["live"]), to_live)).cast(f"array<{SPAN}>")
-    redact = F.transform(F.filter("_s_judged", lambda y: ~y["example"]), lambda y: y["_s_x"]).cast(f"array<{SPAN}>")
-    with_some = seen.filter(F.size("_s_base") > 0).join(by_row, "_s_row").select(*keep, "_s_base", F.concat(F.col("_s_base"), live).alias("_s_all"), redact.alias("_s_redact"))
+    # a widely copied value may stand in a third of all rows: its rows are dealt to SALTS tasks
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    judged = each.withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(SALTS)).cast("int")).join(classes.select("*", salt), ["h", "salt"])
+    by_row = judged.groupBy("number").agg(F.collect_list(F.struct("x", "example", "own")).alias("judged"))
+    to_live = lambda y: F.struct(y["x"]["vs"].alias("s"), F.lit(len(KINDS)).alias("k"), y["x"]["e"].alias("e"), y["x"]["vs"].alias("vs"), y["x"]["h"].alias("h"), y["x"]["live"].alias("live"))
+    live = F.array_distinct(F.transform(F.filter("judged", lambda y: y["own"] & y["x"]["live"]), to_live)).cast(f"array<{SPAN}>")
+    redact = F.transform(F.filter("judged", lambda y: ~y["example"]), lambda y: y["x"]).cast(f"array<{SPAN}>")
+    with_some = seen.filter(F.size("base") > 0).join(by_row, "number").select("row", "base", F.concat(F.col("base"), live).alias("every"), redact.alias("redact"))
     return plain.unionByName(with_some)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def redacted(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     """text with each value of the spans (overlapping ones joined) replaced by the mark."""
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["vs"].alias("s"), x["e"].alias("e"))))
@@ -99,8 +109,8 @@ def redacted(text: Column, spans: Column, mark: str = "<secret>") -> Column:
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan(store.table(spark, sf_dir, "documents"), keep=["doc_id"])
-    number = lambda k: F.size(F.filter("_s_base", lambda x: x["k"] == k)).cast("long")
-    return found.select("doc_id", *[number(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(joined(F.col("_s_base")), 256).alias("base_sha256"), joined(F.col("_s_all")).alias("spans"))
+    number = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return found.select("row.doc_id", *[number(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("every")).alias("spans"))
 
 
 OP8_SQL = r"""

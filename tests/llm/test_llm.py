@@ -441,7 +441,7 @@ def test_secret_spans(spark):
     docs = spark.createDataFrame([(i, t, s, "x") for i, t, s in SECRETS], "doc_id long, text string, source string, spans string")
     from pyspark.sql import functions as F
 
-    got = secrets.scan(docs).select("doc_id", "text", secrets.joined(F.col("_s_base")).alias("base"), secrets.joined(F.col("_s_all")).alias("every"), secrets.redacted(F.coalesce("text", F.lit("")), F.col("_s_redact")).alias("clean")).collect()
+    got = secrets.scan(docs).select("row.doc_id", "row.text", secrets.joined(F.col("base")).alias("base"), secrets.joined(F.col("every")).alias("every"), secrets.redacted(F.coalesce("row.text", F.lit("")), F.col("redact")).alias("clean")).collect()
     assert len(got) == len(SECRETS)
     for r in got:
         t = r["text"] or ""
@@ -457,6 +457,40 @@ def test_secret_spans(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secret_ownership_by_two_columns(spark):
+    """Live are long varied values that one owner has, in any number of repositories; examples have three of either."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    values = ["Ab3dE6gH9kL2mN", "Zz9yX8wV7uT6sR", "short1aa", "aaaaaaaaaaaa1A", "Qw3rTy7uI9oP1a", "Mn8bVc6xZ4lK2j"]
+    rows = [(i, f"token={rng.choice(values)} and secret: {rng.choice(values)}", rng.choice(["r1", "r2", "r3", "r4", None]), rng.choice(["me", None]) if i % 2 else "me") for i in range(14)]
+    rows += [(50, f"password={values[4]}", "r9", "you"), (51, f"password={values[4]}", "r9", "they"), (52, "passwd=Only1OwnerHere9", "r5", "me"), (53, "passwd=Only1OwnerHere9", "r6", "me")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, owner string")
+    found = {}
+    for i, t, repo, owner in rows:
+        for m in PATTERNS["assign"].finditer(t):
+            if len(m[2]) >= 8:
+                found.setdefault(m[2], (set(), set()))
+                found[m[2]][0].add(repo)
+                found[m[2]][1].add(owner)
+    got = secrets.scan(docs, repo_col="a.b", owner_col="owner").select("row.doc_id", secrets.joined(F.col("every")).alias("every"), secrets.redacted(F.col("row.text"), F.col("redact")).alias("clean")).collect()
+    text = {r[0]: r[1] for r in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        want, clean = set(), text[r["doc_id"]]
+        for m in PATTERNS["assign"].finditer(clean):
+            v = m[2]
+            if len(v) >= 8:
+                want.add(f"assign:{m.start()}:{m.end()}")
+                if len(found[v][1]) <= 1 and len(v) >= 12 and len(set(v)) >= 8 and re.search("[A-Za-z]", v) and re.search("[0-9]", v):
+                    want.add(f"live:{m.end() - len(v)}:{m.end()}")
+        assert set(r["every"].split(",")) == want
+        for v, (repos, owners) in found.items():
+            if max(len(repos), len(owners)) < 3:
+                clean = clean.replace(v, "<secret>")
+        assert r["clean"] == clean
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
