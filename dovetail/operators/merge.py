@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dovetail.functions.extract import ROLE, STUDY
+from dovetail.functions.extract import ROLE, STUDY, let
 from dovetail.functions.normalize import candidate_id
 from dovetail.operators.records import first_of_each
 
@@ -153,17 +153,18 @@ def union_skills(listed: Column, told: Column) -> Column:
     """Skills of both, once for each name in any case, with the sources that have it."""
     mark = lambda items, source: F.transform(items, lambda s: F.struct(F.lower(s["name"]).alias("key"), F.lit(source).alias("source"), s.alias("s")))
     every = F.filter(F.concat(mark(listed, "recruiter_csv"), mark(told, "resume")), lambda e: e["key"] != "")
-    sources = lambda e: F.array_distinct(F.transform(F.filter(every, lambda o: o["key"] == e["key"]), lambda o: o["source"]))
-    made = lambda e: F.struct(e["s"]["name"].alias("name"), e["s"]["confidence"].alias("confidence"), sources(e).alias("sources"), e["s"]["method"].alias("method"), e["s"]["best_match"].alias("best_match"), e["s"]["best_score"].alias("best_score"))
-    return F.transform(first_of_each(every, lambda e: e["key"]), made).cast(f"array<{SKILL}>")
+    sources = lambda x, e: F.array_distinct(F.transform(F.filter(x, lambda o: o["key"] == e["key"]), lambda o: o["source"]))
+    made = lambda x, e: F.struct(e["s"]["name"].alias("name"), e["s"]["confidence"].alias("confidence"), sources(x, e).alias("sources"), e["s"]["method"].alias("method"), e["s"]["best_match"].alias("best_match"), e["s"]["best_score"].alias("best_score"))
+    return let(every, lambda x: F.transform(first_of_each(x, lambda e: e["key"]), lambda e: made(x, e))).cast(f"array<{SKILL}>")
 
 
 def routed_phones(listed: Column, told: Column, told_raw: Column) -> Column:
     """struct(phones, phones_raw): distinct phones, table rows' first; those with a country code are normalised."""
     mark = lambda items, sure: F.transform(items, lambda p: F.struct(p.alias("value"), (p.startswith("+") if sure else F.lit(False)).alias("plus")))
-    every = first_of_each(F.filter(F.concat(mark(listed, True), mark(told, True), mark(told_raw, False)), lambda p: p["value"] != ""), lambda p: p["value"])
-    pick = lambda plus: F.transform(F.filter(every, lambda p: p["plus"] if plus else ~p["plus"]), lambda p: p["value"])
-    return F.struct(pick(True).alias("phones"), pick(False).alias("phones_raw"))
+    every = F.filter(F.concat(mark(listed, True), mark(told, True), mark(told_raw, False)), lambda p: p["value"] != "")
+    pick = lambda x, plus: F.transform(F.filter(x, lambda p: p["plus"] if plus else ~p["plus"]), lambda p: p["value"])
+    firsts = let(every, lambda x: first_of_each(x, lambda p: p["value"]))
+    return let(firsts, lambda x: F.struct(pick(x, True).alias("phones"), pick(x, False).alias("phones_raw")))
 
 
 def gathered(resolved: DataFrame) -> DataFrame:
@@ -186,10 +187,13 @@ def merged(groups: DataFrame) -> DataFrame:
         F.transform(raw, lambda p: F.struct(p["value"].alias("value"), p["method"].alias("method"), F.lit("resume").alias("source"))),
     )
     fallback = lambda p: F.struct(p.alias("value"), F.lit("unnormalized_no_country_code").alias("method"), F.lit("resume").alias("source"))
+    detailed = lambda p, k: F.transform(p["phones_raw"], lambda x: F.coalesce(F.get(F.filter(k, lambda y: y["value"] == x), F.lit(0)), fallback(x))).cast(f"array<{detail}>")
+    contact = let(F.struct(phones.alias("p"), known.alias("k")), lambda x: F.struct(x["p"]["phones"].alias("phones"), x["p"]["phones_raw"].alias("phones_raw"), detailed(x["p"], x["k"]).alias("details")))
+    years = let(F.struct(value("c").alias("c"), value("r").alias("r")), lambda x: reconciled_years(x["c"], x["r"]))
     has_c, has_r = F.size("c") > 0, F.size("r") > 0
     current = F.transform("c", lambda x: F.struct(x["company"].alias("company"), x["title"].alias("title"), x["description"].alias("summary")))
     staged = groups.withColumns({
-        "_years": reconciled_years(value("c"), value("r")), "_phones": phones, "_known": known,
+        "_years": years, "_contact": contact,
         "experience": experience(flat("r", "experience"), current), "education": education(flat("c", "education"), flat("r", "education")),
     })
     return staged.select(
@@ -197,7 +201,7 @@ def merged(groups: DataFrame) -> DataFrame:
         F.coalesce(candidate_id(email), F.concat(F.lit("unknown_"), "first_source")).alias("candidate_id"),
         scalar(first("c", "name"), first("r", "full_name")).alias("full_name"),
         first_of_each(F.concat(each("c", "email"), flat("r", "emails")), F.lower).alias("emails"),
-        F.col("_phones.phones").alias("phones"), F.col("_phones.phones_raw").alias("phones_raw"),
+        F.col("_contact.phones").alias("phones"), F.col("_contact.phones_raw").alias("phones_raw"),
         first("r", "location").alias("location"),
         F.struct(first("r", "links.linkedin").alias("linkedin"), first("r", "links.github").alias("github"), first("r", "links.portfolio").alias("portfolio"), F.array_distinct(flat("r", "links.other")).alias("other")).alias("links"),
         F.coalesce(F.get(F.filter(F.transform(flat("r", "experience"), lambda e: e["title"]), lambda t: t.isNotNull()), F.lit(0)), first("r", "headline"), first("c", "title")).alias("headline"),
@@ -209,6 +213,6 @@ def merged(groups: DataFrame) -> DataFrame:
             "match_method", "match_confidence", F.array_compact(F.array(F.when(has_c, F.lit("recruiter_csv")), F.when(has_r, F.lit("resume")))).alias("group_sources"),
             first("c", "file").alias("manifest_resume"), first("r", "filename").alias("resume_filename"), F.element_at(F.concat(F.array(F.lit(None).cast("bigint")), each("c", "row_number")), -1).alias("csv_row_number"),
             F.element_at(F.concat(F.array(F.lit(None).cast("string")), each("c", "unreadable")), -1).alias("manifest_resume_unreadable"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), each("c", "missing")), -1).alias("manifest_resume_missing"),
-            F.transform("_phones.phones_raw", lambda p: F.coalesce(F.get(F.filter("_known", lambda k: k["value"] == p), F.lit(0)), fallback(p))).cast(f"array<{detail}>").alias("phones_raw_details"),
+            F.col("_contact.details").alias("phones_raw_details"),
         ).alias("meta"),
     )

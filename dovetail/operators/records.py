@@ -26,8 +26,8 @@ def with_skills(rows: DataFrame, key: str, tokens: str, out: str) -> DataFrame:
 
 def first_of_each(items: Column, key) -> Column:
     """The items that are the first of their key, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    first = lambda x: extract.let(F.transform(x, key), lambda keys: F.filter(x, lambda y, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    return extract.let(items, first)
 
 
 def csv_education(raw: Column) -> Column:

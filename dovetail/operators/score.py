@@ -84,6 +84,11 @@ def adjusted(scores: Column, match_method: Column, cap: Column, kind: Column) ->
     return F.when(match_method == "manifest_resume_link", F.transform_values(scores, lambda _, v: F.least(v, cap))).otherwise(lowered)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, with each column computed once: what is selected from them doesn't repeat their expressions."""
+    return rows.select(F.explode(F.array(F.struct("*"))).alias("row")).select("row.*")
+
+
 def scored(profiles: DataFrame) -> DataFrame:
     """Merged profiles with field_confidence, field_reasoning, overall_confidence and all provenance."""
     kind = F.col("source_profile_kind")
@@ -123,6 +128,6 @@ def scored(profiles: DataFrame) -> DataFrame:
         "skills": F.when(some(kept), F.array_join(F.transform(kept, lambda s: skill_reasoning(s["name"], s["best_match"], s["best_score"])), " ")),
     }
     reasons = F.map_from_entries(F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in said.items()])))
-    out = profiles.withColumns({"field_confidence": F.map_from_entries(entries), "field_reasoning": reasons, "_new": new})
-    out = out.withColumn("field_confidence", adjusted(F.col("field_confidence"), F.col("meta.match_method"), F.col("meta.match_confidence"), kind))
+    out = settled(profiles).withColumns({"field_confidence": F.map_from_entries(entries), "field_reasoning": reasons, "_new": new})
+    out = settled(out.withColumn("field_confidence", adjusted(F.col("field_confidence"), F.col("meta.match_method"), F.col("meta.match_confidence"), kind)))
     return out.withColumns({"overall_confidence": overall(F.col("field_confidence")), "provenance": F.concat("provenance", "_new")}).drop("_new")
