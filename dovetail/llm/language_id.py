@@ -14,6 +14,7 @@ read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,21 @@ def cluster(x: np.ndarray, k: int, seed: int = 7, rounds: int = 12) -> np.ndarra
     return centres.astype(np.float32)
 
 
+def _clusters(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Centroids of one language's sample, with radii, the quantile of all its distances (none, where each text is a
+    centroid) and those distances."""
+    x = np.stack([np.frombuffer(v, np.float16) for v in sorted({bytes(v) for v in pdf["x"]})]).astype(np.float32)
+    own = cluster(x, CLUSTERS)
+    near = x @ own.T
+    mine, distance = near.argmax(1), 1 - near.max(1)
+    radius = [float(np.quantile(distance[mine == j], QUANTILE)) if (mine == j).any() else 1.0 for j in range(len(own))]
+    floor = float(np.quantile(distance, QUANTILE)) if len(x) > CLUSTERS else None
+    return pd.DataFrame([(pdf["_label"].iloc[0], own.astype(np.float32).tobytes(), radius, floor, float(distance.max()))], columns=["lang", "centres", "radii", "floor", "farthest"])
+
+
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
-    """The model: languages of the centroids, centroids, their radii and the IDF (a few MB at most 1000 languages)."""
+    """The model: languages of the centroids, centroids, their radii and the IDF.  A task clusters a language's sample; what
+    reaches the driver and is sent out is CLUSTERS * DIMS floats for each language."""
     train = train.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     table = vectors.folded()
     n, having = vectors.document_counts(train, F.col(text_col), table, SIZES, DIMS)
@@ -53,26 +67,14 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         x = vectors.weighted(vectors.counts(data, at, table, SIZES, DIMS), idf).astype(np.float16)
         return [[r.tobytes() for r in x]]
 
-    rows = vectors.scored(sample, ["_label"], text_col, score, "x binary").collect()
-    langs, centres, radii = [], [], []
-    order = sorted({(r[0], bytes(r[1])) for r in rows})
-    floors, every = [], []
-    for lang in sorted({r[0] for r in order}):
-        x = np.stack([np.frombuffer(r[1], np.float16) for r in order if r[0] == lang]).astype(np.float32)
-        own = cluster(x, CLUSTERS)
-        near = x @ own.T
-        mine = near.argmax(1)
-        every.append(1 - near.max(1))
-        for j in range(len(own)):
-            distance = 1 - near[mine == j, j] if (mine == j).any() else np.ones(1)
-            langs.append(lang)
-            centres.append(own[j])
-            radii.append(float(np.quantile(distance, QUANTILE)))
-            floors.append(float(np.quantile(every[-1], QUANTILE)) if len(x) > CLUSTERS else None)
-    # texts of a language that are all centroids tell no distance: all languages' are taken
-    pooled = float(np.quantile(np.concatenate(every), QUANTILE))
-    radii = [min(1.0, max(r, pooled if f is None else f) * MARGIN) for r, f in zip(radii, floors, strict=True)]
-    return {"langs": langs, "centres": np.stack(centres), "radii": np.array(radii), "idf": idf}
+    found = vectors.scored(sample, ["_label"], text_col, score, "x binary").groupBy("_label").applyInPandas(_clusters, "lang string, centres binary, radii array<double>, floor double, farthest double")
+    rows = sorted(found.collect(), key=lambda r: r["lang"])
+    centres = [np.frombuffer(r["centres"], np.float32).reshape(-1, DIMS) for r in rows]
+    # texts of a language that are all centroids tell no distance: the widest language's is taken
+    floors = [r["floor"] for r in rows if r["floor"] is not None]
+    widest = max(floors) if floors else max(r["farthest"] for r in rows)
+    radii = [min(1.0, max(x, widest if r["floor"] is None else r["floor"]) * MARGIN) for r in rows for x in r["radii"]]
+    return {"langs": [r["lang"] for r, c in zip(rows, centres, strict=True) for _ in c], "centres": np.concatenate(centres), "radii": np.array(radii), "idf": idf}
 
 
 def identify(docs: DataFrame, model: dict | None, keep: list[str], text_col: str = "text", inside: str | None = None) -> DataFrame:
@@ -89,9 +91,12 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str], text_col: str
         least = (1 - model["radii"][best]) * np.sqrt(size / (size + SHORT))
         return [[model["langs"][b] for b in best], np.clip(cosine, 0, 1), cosine < least]
 
-    letters = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    out = vectors.scored(letters, [*keep, "_letter"], text_col, score, "_lang string, _score double, _rejected boolean", inside)
-    known = F.col("_letter")
+    free = "_letter"
+    while free in {c.lower() for c in docs.columns}:
+        free += "_"
+    letters = docs.withColumn(free, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    out = vectors.scored(letters, [*keep, free], text_col, score, "_lang string, _score double, _rejected boolean", inside)
+    known = F.col(free)
     return out.select(*keep, F.when(known, F.col("_lang")).otherwise("und").alias("lang_pred"), F.when(known, F.col("_score")).otherwise(0.0).alias("score"), (~known | F.col("_rejected")).alias("rejected"))
 
 

@@ -3,7 +3,7 @@
 Texts are TF-IDF vectors of hashed byte n-grams (case and signs kept); document counts cover the whole corpus.  A
 truncated SVD of a bounded labelled sample (SAMPLE_PER_LABEL of each label) gives the latent space; the sample's
 latent vectors are broadcast (2 * SAMPLE_PER_LABEL * RANK floats).  Each text's exact cosines to all of them are one
-blocked matrix product; its NEIGHBOURS nearest vote, weighted by similarity and by the share that each label's
+blocked matrix product; its NEIGHBOURS nearest (of equal ones those that stand first in the sample, which is ordered by label and vector) vote, weighted by similarity and by the share that each label's
 sample is of its rows, so the score is the chance of label 1.
 
 Edge cases.  Null and empty texts have a zero vector and get the prior.  Without labels of both kinds every score is
@@ -64,10 +64,12 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label_col: str = "quality",
 def vote(near: np.ndarray, model: dict, k: int = NEIGHBOURS) -> np.ndarray:
     """The chance of label 1 from cosines to all known vectors."""
     k = min(k, near.shape[1])
-    top = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-    similar = np.maximum(np.take_along_axis(near, top, 1), 0) ** 2 * model["weight"][top]
+    last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+    above, equal = near > last, near == last
+    taken = above | equal & (np.cumsum(equal, 1) <= k - above.sum(1, keepdims=True))  # of equal ones the first rows
+    similar = np.where(taken, np.maximum(near, 0) ** 2 * model["weight"], 0)
     total = similar.sum(1)
-    ones = (similar * model["y"][top]).sum(1)
+    ones = (similar * model["y"]).sum(1)
     return np.where(total > 0, ones / np.where(total > 0, total, 1), model["prior"])
 
 

@@ -10,8 +10,8 @@ character, which is checked when the model is loaded; so texts are cut there, an
 each task (the store of words has a bounded size).  The model's piece scores decide.  For a model of the BPE kind that is the
 best-scoring segmentation, which can differ from that by merge order; decoding gives the text back in either case.
 
-Edge cases.  Null and empty texts have no ids.  Texts of any length and with any characters decode to themselves
-(models that normalise are refused).  Repeated rows are encoded each; other columns are not read.
+Edge cases.  Null and empty texts have no ids.  Texts of any length decode to themselves (models that normalise are
+refused), but for the space sign U+2581 itself, which decodes to a blank as it does in the model's own library.  Repeated rows are encoded each; other columns are not read.
 """
 
 from __future__ import annotations

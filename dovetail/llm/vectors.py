@@ -89,19 +89,12 @@ def idf(n: int, having: np.ndarray) -> np.ndarray:
     return (np.log((1 + n) / (1 + having)) + 1).astype(np.float32)
 
 
-def sampled(rows: DataFrame, key: Column, label: Column, per_label: int, max_labels: int = 1000) -> DataFrame:
-    """About per_label rows of each label (all, where there are fewer), chosen by a hash of the key: alike at every size.
-
-    The number of labels is checked, so what is kept is bounded by per_label * max_labels rows and a little chance."""
+def sampled(rows: DataFrame, key: Column, label: Column, per_label: int) -> DataFrame:
+    """About per_label rows of each label (all, where there are fewer), chosen by a hash of the key: alike at every size."""
     labelled = rows.withColumn("_label", label).filter(F.col("_label").isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy("_label").count().limit(max_labels + 1).collect()}
-    if len(sizes) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    if not sizes:
-        return labelled.limit(0)
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, per_label / n))])
+    sizes = labelled.groupBy("_label").agg(F.count(F.lit(1)).alias("_size"))
     place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.filter(place < share[F.col("_label")])
+    return labelled.join(sizes, "_label").filter(place < F.lit(float(per_label)) / F.col("_size")).drop("_size")
 
 
 def scored(docs: DataFrame, keep: list[str], text_col: str, score: Callable, schema: str, inside: str | None = None) -> DataFrame:

@@ -233,13 +233,13 @@ def test_sentencepiece_finds_best_paths_and_round_trips(spark):
     texts = [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(30).collect()] + [x for _, x, _ in ODD if x]
     for x in texts:
         assert m.decode(m.encode(x)) == x
+    assert m.decode(m.encode("a▁b")) == "a b"
     for x in ["hello world", " two  spaces ", "çé漢字🙂", "aaaaabbbb", "internationalisation"]:
         marked = "▁" + x.replace(" ", "▁")
         ids = m.viterbi(marked)
         known = sum(m.pieces[i][1] for i in ids if i not in m.of_byte)
-        alone = best_score(m, marked)
-        if not any(i in m.of_byte for i in ids):
-            assert known == pytest.approx(alone)
+        spelt = len(bytes(m.of_byte[i] for i in ids if i in m.of_byte).decode())  # characters that no piece covers
+        assert known + spelt * m.floor == pytest.approx(best_score(m, marked))
         assert m.encode(x) == ids
 
 
@@ -362,6 +362,13 @@ def test_quality_votes_are_exact(spark):
         assert got == pytest.approx(sum(w[i] for i in top if model["y"][i]) / sum(w.values()))
 
 
+def test_quality_ties_go_to_the_first_rows():
+    model = {"y": np.array([1, 0, 1, 0, 0]), "weight": np.ones(5), "prior": 0.5}
+    near = np.array([[0.5, 0.5, 0.5, 0.9, 0.5], [0.0, 0.0, 0.0, 0.0, 0.0], [0.2, 0.2, 0.2, 0.2, 0.2]])
+    assert quality.vote(near, model, 2).tolist() == [pytest.approx(0.25 / (0.25 + 0.81)), 0.5, 0.5]
+    assert quality.vote(near, model, 3)[2] == pytest.approx(2 / 3)
+
+
 def test_quality_on_held_out_texts(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in quality.op9_quality_knn(spark, sf).collect()}
