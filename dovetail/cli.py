@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--csv", required=True)
     p.add_argument("--resumes", required=True)
     p.add_argument("-o", "--output")
+    p.add_argument("--output-dir", help="one JSON document a line, written by the executors")
     p.add_argument("--config")
     p.add_argument("--stdout", action="store_true")
     p.add_argument("-v", "--verbose", action="store_true")
@@ -32,6 +33,11 @@ def main(argv: list[str] | None = None) -> int:
     try:
         config = open(a.config, encoding="utf-8").read() if a.config else None
         found = pipeline.run(spark, a.csv, a.resumes, config)
+        for r in found["warnings"].toLocalIterator():
+            log.warning("%s: %s", r["source_id"], r["warning"])
+        if a.output_dir:
+            found["output"].select("output").write.text(a.output_dir)
+            return 0
         whole = pipeline.write_json(found["output"], a.output)
         if a.stdout or not a.output:
             print(whole)

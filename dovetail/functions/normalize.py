@@ -29,6 +29,8 @@ CALLING = {
     "31": "[1-9][0-9]{8}", "41": "[1-9][0-9]{8}", "46": "[1-9][0-9]{6,8}", "55": "[1-9][0-9]{9,10}", "52": "[1-9][0-9]{9}", "971": "[2-9][0-9]{7,8}", "972": "[2-9][0-9]{7,8}",
     "353": "[1-9][0-9]{6,8}", "880": "1[0-9]{9}", "92": "3[0-9]{9}|[2-9][0-9]{8,9}", "94": "[1-9][0-9]{8}", "7": "[3489][0-9]{9}", "82": "[1-9][0-9]{7,9}", "27": "[1-8][0-9]{8}",
 }
+# Calling codes of regions, with the digit that opens a national number at home.
+REGIONS = {"US": ("1", "1"), "CA": ("1", "1"), "IN": ("91", "0"), "GB": ("44", "0"), "AU": ("61", "0"), "DE": ("49", "0"), "FR": ("33", "0"), "JP": ("81", "0"), "CN": ("86", "0"), "SG": ("65", "")}
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 FUZZY_SKILL = 85
 NOW = "(?i)^(present|current|now)"
@@ -46,18 +48,23 @@ def phone_digits(phone: Column) -> Column:
     return F.nullif(F.regexp_replace(phone, "[^0-9]", ""), F.lit(""))
 
 
-def phone(raw: Column) -> Column:
-    """struct(e164, raw, confidence, method).  No country is guessed: only a number that begins with + is parsed."""
+def phone(raw: Column, default_region: str | None = None) -> Column:
+    """struct(e164, raw, confidence, method).  No country is guessed: without a default region only a number that begins
+    with + is parsed; with one, others are national numbers there."""
     clean = F.trim(raw)
     digits = F.regexp_replace(clean, "[^0-9]", "")
     plan = "|".join(f"{code}(?:{rest})" for code, rest in CALLING.items())
     whole = F.regexp_replace(digits, "^44(0)", "44")
+    abroad = clean.startswith("+")
+    if default_region:
+        code, trunk = REGIONS[default_region.upper()]
+        whole = F.when(abroad, whole).otherwise(F.concat(F.lit(code), F.regexp_replace(digits, f"^{trunk}" if trunk else "^$", "")))
     result = lambda e164, conf, how, kept=clean: F.struct(e164.cast("string").alias("e164"), kept.alias("raw"), F.lit(conf).alias("confidence"), F.lit(how).alias("method"))
     none = F.lit(None)
     return (
         F.when(raw.isNull() | (clean == ""), result(none, 0.0, "empty", raw))
-        .when(~clean.startswith("+"), result(none, 0.3, "unnormalized_no_country_code"))
-        .when((F.char_length(digits) < 3) | digits.startswith("0") | clean.rlike("[^0-9+() ./\\-\\u00a0]"), result(none, 0.3, "unnormalized_parse_error"))
+        .when(~abroad & F.lit(not default_region), result(none, 0.3, "unnormalized_no_country_code"))
+        .when((F.char_length(digits) < 3) | abroad & digits.startswith("0") | clean.rlike("[^0-9+() ./\\-\\u00a0]"), result(none, 0.3, "unnormalized_parse_error"))
         .when(whole.rlike(f"^(?:{plan})$"), result(F.concat(F.lit("+"), whole), 0.95, "E164"))
         .otherwise(result(none, 0.3, "unnormalized_invalid"))
     )

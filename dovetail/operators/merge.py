@@ -175,11 +175,12 @@ def gathered(resolved: DataFrame) -> DataFrame:
     return rows.select("group_id", "group_order", "match_method", "match_confidence", F.get("all", F.lit(0))["source_id"].alias("first_source"), of("recruiter_csv", "csv").alias("c"), of("resume", "resume").alias("r"))
 
 
-def merged(groups: DataFrame) -> DataFrame:
-    """Canonical profiles before scoring."""
+def merged(groups: DataFrame, source_priority: tuple[str, ...] = ("resume", "recruiter_csv")) -> DataFrame:
+    """Canonical profiles before scoring; source_priority: whose email comes first as the candidate's id."""
     value = lambda rows: F.transform(F.filter(rows, lambda x: x["years"].isNotNull()), lambda x: F.struct(x["years"].alias("value"), x["years_method"].alias("method")))
     raw = flat("r", "phones_raw")
-    email = F.coalesce(F.get(flat("r", "emails"), F.lit(0)), first("c", "email"))
+    first_email = {"resume": F.get(flat("r", "emails"), F.lit(0)), "recruiter_csv": first("c", "email")}
+    email = F.coalesce(*[first_email[s] for s in source_priority if s in first_email], F.lit(None).cast("string"))
     phones = routed_phones(each("c", "phone"), flat("r", "phones"), F.transform(raw, lambda p: p["value"]))
     detail = "struct<value:string,method:string,source:string>"
     known = F.concat(

@@ -52,10 +52,6 @@ def noticed(profiles: DataFrame) -> DataFrame:
     return own.withColumns({"source_notice": notice, "meta": F.col("meta").withField("data_quality_notice", quality)}).drop("_listed")
 
 
-def card_meta(profiles: DataFrame) -> DataFrame:
-    return profiles.select("candidate_id", "source_profile_kind", "source_notice", "meta.data_quality_notice", "meta.resume_filename", "meta.manifest_resume", "meta.csv_row_number")
-
-
 def batch_summary(profiles: DataFrame) -> DataFrame:
     count = lambda k: F.count_if(F.col("source_profile_kind") == k)
     return profiles.agg(

@@ -44,10 +44,10 @@ def csv_education(raw: Column) -> Column:
     return F.when(text != "", F.array(one)).otherwise(F.array()).cast(f"array<{STUDY}>")
 
 
-def normalized_table(rows: DataFrame) -> DataFrame:
+def normalized_table(rows: DataFrame, default_region: str | None = None) -> DataFrame:
     """Identified table rows with their normalised values in the struct `csv`."""
     tokens = F.filter(F.transform(F.split(F.coalesce("skills", F.lit("")), "[,;|]"), lambda t: F.trim(t)), lambda t: t != "")
-    own = rows.withColumns({"_tokens": tokens, "_phone": normalize.phone(F.col("phone")), "_years": normalize.csv_years(F.col("experience_months"), F.col("years_experience"))})
+    own = rows.withColumns({"_tokens": tokens, "_phone": normalize.phone(F.col("phone"), default_region), "_years": normalize.csv_years(F.col("experience_months"), F.col("years_experience"))})
     own = with_skills(own, "row_number", "_tokens", "_skills")
     has_phone = F.col("phone").isNotNull()
     parts = {
@@ -62,11 +62,11 @@ def normalized_table(rows: DataFrame) -> DataFrame:
     return own.select("source_id", F.struct(*[v.alias(k) for k, v in parts.items()]).cast(CSV).alias("csv"))
 
 
-def extracted(texts: DataFrame, as_of: Column) -> DataFrame:
+def extracted(texts: DataFrame, as_of: Column, default_region: str | None = None) -> DataFrame:
     """Resume texts with their fields in the struct `resume`."""
     text = F.col("raw_text")
     found = texts.withColumns({"_name": extract.name(text), "_sections": extract.sections(text)})
-    phones = F.transform(extract.phones(text), normalize.phone)
+    phones = F.transform(extract.phones(text), lambda p: normalize.phone(p, default_region))
     worked = extract.worked_years(F.col("_sections.experience"), as_of)
     found = found.withColumns({"_phones": phones, "_worked": worked, "_tokens": F.col("_sections.skills")})
     found = with_skills(found, "file_path", "_tokens", "_skills")

@@ -251,6 +251,15 @@ def name_ratios(spark, sf_dir):
     return both.select("a", "b", similarity.lcs_length(F.col("a"), F.col("b")).alias("common"), F.round(similarity.indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
+@query("""SELECT s_suppkey, 100.0::DOUBLE AS whole, round(600.0::DOUBLE / 7, 6) AS edge, 0.0::DOUBLE AS none FROM supplier WHERE length(s_name) > 4""")
+def partial_ratios(spark, sf_dir):
+    """A name within a longer text; one of which a window at the edge is best; one with no letter in common."""
+    a = F.lower("s_name")
+    n = read(spark, sf_dir, "supplier").filter(F.char_length("s_name") > 4)
+    edge = similarity.partial_ratio(F.concat(F.substring(a, 1, 3), F.lit("~")), a)
+    return n.select("s_suppkey", similarity.partial_ratio(a, F.concat(F.lit("cv of "), a, F.lit(" 2020"))).alias("whole"), F.round(edge, 6).alias("edge"), similarity.partial_ratio(F.lit("~~"), a).alias("none"))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 40 > 0 THEN round_even((c_custkey % 40) / 12.0, 1)::DOUBLE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 9)::DOUBLE + 0.5 END AS years,
   CASE WHEN c_custkey % 3 = 0 AND c_custkey % 40 > 0 THEN 'direct_field_csv_months' WHEN c_custkey % 4 <> 0 THEN 'direct_field_csv' END AS method FROM customer""")
 def csv_years(spark, sf_dir):
@@ -579,6 +588,31 @@ def project_omit(spark, sf_dir):
     return out.select(F.col("group_order").alias("c_custkey"), "output")
 
 
+NORMALIZED = {"fields": [{"path": "phone", "from": "phones_raw[0]", "normalize": "E164"}, {"path": "skills", "from": "skills[].name", "type": "string[]", "normalize": "canonical"}, {"path": "mail", "from": "emails[0]"}], "include_provenance": False}
+
+
+@query(f"""{SCORE_SQL} SELECT v.k AS c_custkey, CASE WHEN hc AND v.k % 2 <> 0 THEN '0' || v.k WHEN hr THEN '77' || v.k END AS phone, CASE WHEN hc AND hr THEN 'SQL,' || seg || ',Rust' WHEN hc THEN 'SQL,' || seg ELSE 'SQL,Rust' END AS skills,
+  CASE WHEN hc THEN 'User' ELSE 'user' END || v.k || '@x.com' AS mail, p.score AS phone_confidence, s.score AS skills_confidence, e.score AS mail_confidence
+FROM v LEFT JOIN m p ON p.k = v.k AND p.field = 'phones_raw' LEFT JOIN m s ON s.k = v.k AND s.field = 'skills' LEFT JOIN m e ON e.k = v.k AND e.field = 'emails'""")
+def project_normalized(spark, sf_dir):
+    """Normalised values, and each path's confidence by its canonical field."""
+    out = configured(spark, sf_dir, NORMALIZED).withColumn("skills", F.array_join("skills", ","))
+    return out.select("c_custkey", "phone", "skills", "mail", "phone_confidence", "skills_confidence", "mail_confidence")
+
+
+@query(f"""WITH {V_SQL} SELECT k AS c_custkey, CASE WHEN hc THEN 'User' ELSE 'user' END || k || '@x.com' AS email FROM v""")
+def reprojected(spark, sf_dir):
+    """Stored profiles are projected again, without the steps before."""
+    from dovetail.operators import notices
+    from dovetail.plans import pipeline
+    from dovetail.plans.shared import cut
+
+    stored = cut(notices.noticed(score.scored(merge.merged(customer_views(spark, sf_dir)))))
+    out = pipeline.reproject(stored, {"fields": [{"path": "email", "from": "emails[0]"}], "include_confidence": False, "include_provenance": False})["output"]
+    ids = stored.select("candidate_id", F.col("group_order").alias("c_custkey"))
+    return out.join(ids, "candidate_id").select("c_custkey", F.get_json_object("output", "$.email").alias("email"))
+
+
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k_text, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_number FROM events""")
 def project_json_path(spark, sf_dir):
     """P3, P5 over parsed JSON: a.b as text and as a number."""

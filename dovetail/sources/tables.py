@@ -54,10 +54,10 @@ def identified(rows: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file (UTF-8, with or without a byte order mark, quoted line breaks) as identified rows, numbered from 2.
+    """A CSV file (UTF-8, with or without a byte order mark, quoted line breaks) as identified rows, numbered from 2
+    in each file.
 
-    A missing file and one without a known header give no rows.  A file with quoted line breaks is one partition, so its
-    order numbers the rows."""
+    A missing file and one without a known header give no rows.  Rows with cells too many or too few are kept."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("inferSchema", False)
     empty = spark.createDataFrame([], ", ".join(f"{a} string" for a in ATTRIBUTES) + ", row_number long")
     try:
@@ -66,8 +66,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         return identified(empty)
     if not attributes_of(raw.columns):
         return identified(empty)
-    place = F.monotonically_increasing_id()
-    numbered = raw.withColumn("row_number", place)
-    if raw.rdd.getNumPartitions() > 1:  # several files or splits: ids grow in file order, ranks close the gaps
-        numbered = numbered.withColumn("row_number", F.row_number().over(Window.orderBy("row_number")) - 1)
-    return identified(mapped(numbered.withColumn("row_number", F.col("row_number") + 2)))
+    place = Window.partitionBy("_file").orderBy("_place")  # a file is read by one task, in order
+    numbered = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place")).withColumn("row_number", (F.row_number().over(place) + 1).cast("long"))
+    return identified(mapped(numbered))

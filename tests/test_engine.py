@@ -315,3 +315,44 @@ def test_arriving_files(spark, tmp_path):
     run()
     got = {r["name"]: r["source_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["Ana"] == "csv_a@x.com" and got["Bob"].startswith("csv_row_") and len(got) == 2
+
+
+@pytest.mark.parametrize(("raw", "region", "e164", "method"), [
+    ("(415) 555-0182", "US", "+14155550182", "E164"), ("098765 00001", "in", "+919876500001", "E164"), ("+44 20 7946 0018", "US", "+442079460018", "E164"),
+    ("12", "US", None, "unnormalized_parse_error"), ("115 555 0182", "CA", None, "unnormalized_invalid"), ("9876500001", None, None, "unnormalized_no_country_code"),
+])
+def test_phones_of_a_region(spark, raw, region, e164, method):
+    got = one(spark, normalize.phone(F.col("x"), region), x=raw)
+    assert (got["e164"], got["method"]) == (e164, method)
+
+
+def test_source_priority_decides_the_first_email(spark):
+    from dovetail import queries
+
+    views = queries.customer_views(spark, "/root/testdata/sf0.001").filter("size(c) > 0 AND size(r) > 0").limit(1)
+    key = views.first()["c_custkey"]
+    ids = [merge.merged(views, p).first()["candidate_id"] for p in (("resume", "recruiter_csv"), ("recruiter_csv",), ())]
+    import hashlib
+
+    assert ids[0] == ids[1] == hashlib.sha256(f"user{key}@x.com".encode()).hexdigest() and ids[2].startswith("unknown_")
+
+
+def test_errors_can_stop_a_projection(spark, result):
+    strict = {"fields": [{"path": "phone", "from": "phones[0]", "required": True}], "on_missing": "error"}
+    found = pipeline.reproject(result["canonical"], strict)
+    good, bad = found["output"].count(), found["errors"].count()
+    assert good and bad and good + bad == result["canonical"].count() and found["meta"].count() == good
+    with pytest.raises(ValueError, match="Required field missing: phone"):
+        pipeline.reproject(result["canonical"], strict, skip_on_error=False)
+
+
+def test_warnings_are_kept(result):
+    said = {(r["source_id"], r["warning"]) for r in result["warnings"].collect()}
+    assert ("csv_row_7", "missing email") in said and any("missing: absent.txt" in w for _, w in said) and any("failed validation: wrong.txt" in w for _, w in said)
+
+
+def test_files_are_numbered_each(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("name,email\n" + "".join(f"{name} {i},e{i}@x.com\n" for i in range(3)))
+    rows = tables.read_table(spark, str(tmp_path)).collect()
+    assert sorted((r["name"], r["row_number"]) for r in rows) == [(f"{n} {i}", i + 2) for n in ("a.csv", "b.csv") for i in range(3)]
