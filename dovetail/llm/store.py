@@ -36,6 +36,13 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """A materialised table read once more, for a plan that needs it on two sides."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df._dovetail_path)  # type: ignore[attr-defined]
+    out._dovetail_path = df._dovetail_path  # type: ignore[attr-defined]
+    return out
+
+
 def bucketed(df: DataFrame, tag: str, key: str, buckets: int, by: str) -> DataFrame:
     """As materialize with `by`, in `buckets` buckets of `key`: joins and groups by the key need no shuffle of it."""
     spark = df.sparkSession

@@ -214,6 +214,26 @@ def test_top_k_is_exact_with_ties(spark):
     assert pivot_search.top_k(docs.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_leaves_far_blocks_out(spark, monkeypatch):
+    """Small blocks, so that queries meet other blocks; clustered vectors need few candidates, and results stay exact."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pivot_search, "BLOCK", 40)
+    monkeypatch.setattr(pivot_search, "STEP", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 3, (12, 16))
+    clustered = centres[rng.integers(0, 12, 1500)] + rng.normal(0, 0.05, (1500, 16))
+    for vectors_, most in ((clustered, 0.5), (rng.normal(0, 1, (600, 16)), 1.0)):
+        docs = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(vectors_)], "vec_id long, embedding array<double>")
+        rows = pivot_search.top_k(docs, F.col("id") % 50 == 0, with_evaluated=True).collect()
+        whole = np.floor(vectors_ * 256).astype(np.int64)
+        for i in range(0, len(whole), 50):
+            each = sorted((-int(s), j) for j, s in enumerate(whole @ whole[i]) if j != i)[:5]
+            assert sorted((r["rank"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == i) == [(n + 1, j, -s) for n, (s, j) in enumerate(each)]
+        share = np.mean([r["evaluated"] for r in rows if r["rank"] == 1]) / (len(whole) - 1)
+        assert 0 < share <= most
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
