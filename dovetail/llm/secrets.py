@@ -29,7 +29,7 @@ KINDS = {
 }
 #: A value of so many owners or repositories is an example; a live one has so many different characters at least.
 EXAMPLE_OWNERS, LIVE_OWNERS, LIVE_LENGTH, LIVE_DISTINCT = 3, 1, 12, 8
-SALTS = 16
+SALTS, RUN = 16, 64
 SPAN = "struct<s:int,k:int,e:int,vs:int,h:bigint,live:boolean>"
 
 
@@ -54,10 +54,20 @@ def spans_of(text: Column, kind: int) -> Column:
         kept = F.when(x["whole"].isNotNull() & (F.char_length(value) >= least), F.concat(state["out"], F.array(span).cast(f"array<{SPAN}>"))).otherwise(state["out"])
         return F.struct(F.coalesce(end, start).alias("at"), kept.alias("out"))
 
-    folded = F.aggregate(triples, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    # runs of RUN matches, each folded from where it starts: a text with very many matches isn't copied once for each
+    runs = let(triples, lambda t: F.transform(F.sequence(F.lit(0), ((F.size(t) - 1) / RUN).cast("int")), lambda i: F.slice(t, i * RUN + 1, F.lit(RUN))))
+    long = lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(F.char_length(x["whole"]), F.lit(0)))
+    starts = lambda r: F.aggregate(r, F.array(F.lit(0)), lambda at, run: F.concat(at, F.array(F.element_at(at, -1) + long(run))))
+    fold = lambda run, at: F.aggregate(run, F.struct(at.alias("at"), empty.alias("out")), step)["out"]
+    folded = let(runs, lambda r: let(starts(r), lambda at: F.flatten(F.transform(r, lambda run, i: fold(run, F.get(at, i))))))
     return F.when(text.rlike(pattern), folded).otherwise(empty)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value being computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of the spans by start, then kind, joined by commas."""
     names = F.array(*[F.lit(k) for k in (*KINDS, "live")])

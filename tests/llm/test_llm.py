@@ -484,6 +484,15 @@ def test_secret_spans(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secret_spans_of_very_many_matches(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(f"é{'x' * (i % 5)} token=value{i:05d} " for i in range(300))
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    got = secrets.scan(docs).select(secrets.joined(F.col("base")).alias("base")).first()["base"]
+    assert got == ",".join(f"assign:{m.start()}:{m.end()}" for m in PATTERNS["assign"].finditer(text))
+
+
 def test_secret_ownership_by_two_columns(spark):
     """Live are long varied values that one owner has, in any number of repositories; examples have three of either."""
     from pyspark.sql import functions as F
