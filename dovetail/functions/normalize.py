@@ -144,13 +144,16 @@ def skill_result(raw: Column, alias: Column, name: Column, score: Column) -> Col
     )
 
 
+def known_skill(raw: Column) -> Column:
+    """The skill of a known spelling or of blank text, else null."""
+    none = F.lit(None)
+    return F.when(skill_alias(raw).isNotNull() | (F.trim(raw) == ""), skill_result(raw, skill_alias(raw), none.cast("string"), none.cast("double")))
+
+
 def skill_dictionary(tokens: DataFrame, column: str) -> DataFrame:
     """(column, skill) for the distinct tokens: similarity is computed once for each, and only where no spelling is known."""
-    one = tokens.select(column).distinct()
-    known = one.filter(skill_alias(F.col(column)).isNotNull() | (F.trim(column) == ""))
-    rest = one.filter(skill_alias(F.col(column)).isNull() & (F.trim(column) != ""))
-    plain = skill_result(F.col(column), skill_alias(F.col(column)), F.lit(None).cast("string"), F.lit(None).cast("double"))
-    return known.select(column, plain.alias("skill")).unionByName(rest.select(column, skill(F.col(column)).alias("skill")))
+    one = tokens.select(column).distinct().withColumn("_known", known_skill(F.col(column)))
+    return one.filter("_known IS NOT NULL").select(column, F.col("_known").alias("skill")).unionByName(one.filter("_known IS NULL").select(column, skill(F.col(column)).alias("skill")))
 
 
 def candidate_id(email: Column) -> Column:

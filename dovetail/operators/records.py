@@ -16,10 +16,13 @@ PLACE = "struct<late:int,row_number:bigint,second:int,path:string>"
 
 
 def with_skills(rows: DataFrame, key: str, tokens: str, out: str) -> DataFrame:
-    """rows with `out`, the skills of the array `tokens` in order: each distinct token is looked up once."""
-    each = rows.select(key, F.posexplode(tokens).alias("_at", "_token"))
-    known = normalize.skill_dictionary(each, "_token")
-    found = each.join(known, "_token").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "skill"))), lambda x: x["skill"]).alias(out))
+    """rows with `out`, the skills of the array `tokens` in order.  Known spellings, which most tokens are, are looked up in
+    place; each distinct other token is compared once with all names and joined."""
+    each = rows.select(key, F.posexplode(tokens).alias("_at", "_token")).withColumn("_known", normalize.known_skill(F.col("_token")))
+    at_once = each.filter("_known IS NOT NULL").select(key, "_at", F.col("_known").alias("skill"))
+    others = each.filter("_known IS NULL").drop("_known")
+    joined = others.join(normalize.skill_dictionary(others, "_token"), "_token").select(key, "_at", "skill")
+    found = at_once.unionByName(joined).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "skill"))), lambda x: x["skill"]).alias(out))
     empty = F.array().cast(f"array<{SKILL_TYPE}>")
     return rows.join(found, key, "left").withColumn(out, F.coalesce(out, empty))
 
