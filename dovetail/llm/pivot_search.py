@@ -119,7 +119,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         return pd.Series(out)
 
     celled = x.withColumn("cell", nearest("dim", "v"))
-    sizes = celled.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = store.small(celled.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "cells")
     place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     placed = store.materialize(celled.join(sizes, ["dim", "cell"]).select("id", "v", "is_query", "dim", "cell", place), "vectors")
 

@@ -36,6 +36,15 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return out
 
 
+SMALL = 100_000
+
+
+def small(df: DataFrame, tag: str) -> DataFrame:
+    """A table of few numbers, written; marked for broadcasting if it has SMALL rows at most, else joined as any other."""
+    out = materialize(df, tag)
+    return F.broadcast(out) if out.count() <= SMALL else out
+
+
 def again(df: DataFrame) -> DataFrame:
     """A materialised table read once more, for a plan that needs it on two sides."""
     out = df.sparkSession.read.schema(df.schema).parquet(df._dovetail_path)  # type: ignore[attr-defined]

@@ -15,7 +15,6 @@ from dovetail.llm import store
 from dovetail.llm.blobs import tidy
 from dovetail.llm.text import LOWER, chunks
 
-BROADCAST_LABELS = 100_000
 #: Texts of a dense block of vectors.
 ROWS = 512
 
@@ -93,12 +92,9 @@ def idf(n: int, having: np.ndarray) -> np.ndarray:
 def sampled(rows: DataFrame, key: Column, label: Column, per_label: int) -> DataFrame:
     """About per_label rows of each label (all, where there are fewer), chosen by a hash of the key: alike at every size.
 
-    The labels' sizes are counted first: up to BROADCAST_LABELS of them are sent to the rows, so the rows stay where they
-    are; more go by a join."""
+    The labels' sizes are sent to the rows, so the rows stay where they are (see store.small)."""
     labelled = rows.withColumn("_label", label).filter(F.col("_label").isNotNull())
-    sizes = store.materialize(labelled.groupBy("_label").agg(F.count(F.lit(1)).alias("_size")), "sizes")
-    if sizes.count() <= BROADCAST_LABELS:
-        sizes = F.broadcast(sizes)
+    sizes = store.small(labelled.groupBy("_label").agg(F.count(F.lit(1)).alias("_size")), "sizes")
     place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return labelled.join(sizes, "_label").filter(place < F.lit(float(per_label)) / F.col("_size")).drop("_size")
 
