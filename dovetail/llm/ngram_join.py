@@ -299,24 +299,25 @@ def _block_links(alive: DataFrame, label: DataFrame, records: DataFrame, percent
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each text: uid, id, n_shingles, component_id (see the module's text for edge cases)."""
-    joined, alone = _joined(docs, id_col, text_col, None, k, percent)
-    first = joined.groupBy("label").agg(F.min("id").alias("component_id"))
-    with_first = joined.join(first, "label").select("uid", "id", "n", "component_id")
-    return with_first.union(alone.select("uid", "id", "n", F.col("id").alias("component_id"))).withColumnRenamed("n", "n_shingles")
+    can, classes, alone = _joined(docs, id_col, text_col, None, k, percent)
+    first = classes.groupBy("label").agg(F.min("first.id").alias("component_id"))
+    of_class = classes.join(first, "label").select("n", "h1", "h2", "component_id")  # classes, not texts, meet by component
+    joined = can.select("uid", "id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"]).select("uid", "id", "n", "component_id")
+    return joined.union(alone.select("uid", "id", "n", F.col("id").alias("component_id"))).withColumnRenamed("n", "n_shingles")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag_col: str = "tag", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, tag) of one text of each component: the smallest id, null ones last, then the smallest tag."""
-    joined, alone = _joined(docs, id_col, text_col, tag_col, k, percent)
-    first = joined.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("x")).select("x.id", "x.tag")
+    _, classes, alone = _joined(docs, id_col, text_col, tag_col, k, percent)
+    first = classes.groupBy("label").agg(F.min("first").alias("x")).select("x.id", "x.tag")
     return first.union(alone.select("id", "tag"))
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, tag_col: str | None, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Texts that can have partners with their component's label, and the others."""
+def _joined(docs: DataFrame, id_col: str, text_col: str, tag_col: str | None, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts that can have partners; their classes of equal sets with the first text and the component's label; the other texts."""
     every = text_sets(docs, id_col, text_col, tag_col, k, percent)
     can = every.filter(F.col("vals").isNotNull())
-    classes = store.materialize(can.groupBy("n", "h1", "h2").agg(F.min("uid").alias("uid")), "classes")
+    classes = store.materialize(can.groupBy("n", "h1", "h2").agg(F.min("uid").alias("uid"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("first")), "classes")
     records = store.materialize(can.join(classes.select("uid"), "uid", "left_semi").select("uid", "n", "vals", "parts"), "records")
     least = F.floor((F.col("n") * percent + 99) / 100).cast("long")
     lone = F.col("n") - F.size("vals")
@@ -352,9 +353,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, tag_col: str | None, k:
         found = store.materialize(_block_links(alive, label, records, percent), "links")
         links = links.union(found)
         label = components(links)
-    of_class = classes.join(label.withColumnRenamed("node", "uid"), "uid", "left").select("n", "h1", "h2", F.coalesce("label", "uid").alias("label"))
-    joined = can.select("uid", "id", "tag", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"]).select("uid", "id", "tag", "n", "label")
-    return joined, every.filter(F.col("vals").isNull()).select("uid", "id", "tag", "n")
+    of_class = classes.join(label.withColumnRenamed("node", "uid"), "uid", "left").select("n", "h1", "h2", "first", F.coalesce("label", "uid").alias("label"))
+    return can, of_class, every.filter(F.col("vals").isNull()).select("uid", "id", "tag", "n")
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
