@@ -90,9 +90,10 @@ def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "source", owne
     repos = owned.select("h", "repo").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("repos"))
     owners = owned.select("h", "owner").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("owners"))
     classes = owners.join(repos, "h").select("h", (F.greatest("owners", "repos") >= EXAMPLE_OWNERS).alias("example"), (F.col("owners") <= LIVE_OWNERS).alias("own"))
-    # a widely copied value may stand in a third of all rows: its rows are dealt to SALTS tasks
+    # a widely copied value may stand in a third of all rows: its rows are dealt to SALTS tasks; classes grow with the
+    # documents and are never broadcast
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    judged = each.withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(SALTS)).cast("int")).join(classes.select("*", salt), ["h", "salt"])
+    judged = each.withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(SALTS)).cast("int")).join(classes.select("*", salt).hint("merge"), ["h", "salt"])
     by_row = judged.groupBy("number").agg(F.collect_list(F.struct("x", "example", "own")).alias("judged"))
     to_live = lambda y: F.struct(y["x"]["vs"].alias("s"), F.lit(len(KINDS)).alias("k"), y["x"]["e"].alias("e"), y["x"]["vs"].alias("vs"), y["x"]["h"].alias("h"), y["x"]["live"].alias("live"))
     live = F.array_distinct(F.transform(F.filter("judged", lambda y: y["own"] & y["x"]["live"]), to_live)).cast(f"array<{SPAN}>")
