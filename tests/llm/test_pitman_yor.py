@@ -156,3 +156,39 @@ def test_seating_stays_whole():
     to = rng.integers(1, 400, 300)
     t, sizes = seating.thinned(s.t, s.sizes(), to, key, 9)
     assert (np.bincount(np.repeat(np.arange(300), t), sizes, minlength=300) == np.minimum(c, to)).all() and (sizes > 0).all()
+
+
+def by_hand(c, d, weights):
+    """Shares of the numbers of tables of c customers: every way to open tables one after the other."""
+    ways = {1: weights(0)}
+    for n in range(1, c):
+        ways = {t: ways.get(t - 1, 0) * weights(t - 1) / n + ways.get(t, 0) * max(n - t * d, 0) / n for t in range(1, n + 2)}
+        total = sum(ways.values())
+        ways = {t: x / total for t, x in ways.items()}
+    return [ways[t] for t in range(1, c + 1)]
+
+
+@pytest.mark.parametrize(("c", "weight", "step", "d"), [(3, 1.5, 0.0, 0.7), (90, 4.0, 0.3, 0.5), (300, 200.0, 0.0, 0.7), (1500, 6.0, 0.1, 0.8), (700, 900.0, 0.0, 0.6)])
+def test_tables_of_a_whole_dish_have_their_distribution(c, weight, step, d):
+    want = np.array(by_hand(c, d, lambda k: weight + step * k))
+    u = (np.arange(20000) + 0.5) / 20000
+    t = seating.drawn(np.full(len(u), c), np.full(len(u), weight), np.full(len(u), step), d, u)
+    found = np.bincount(t, minlength=c + 1)[1:] / len(u)
+    assert np.abs(found - want).max() < 1.01 / len(u)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("sweeps", [3, 16])
+def test_a_sweep_seats_every_customer_of_a_large_dish_again(whole, sweeps):
+    n, c, d, alone, p = 40, 3000, 0.6, 10_000, np.full(40, 0.05)
+    rest, start = np.arange(n), np.full(n, c)  # all at one table, where a sweep of few customers leaves nearly all
+    given = (start[:0], np.ones(n, bool)) if sweeps == 3 else (start,)  # drawn at once, or one by one, which takes more sweeps
+    s = seating.Seating(start, mix(rest.astype(np.uint64)), np.ones(n, np.int64), *given)
+    tables = np.full(n, alone + 1)
+    for k in range(sweeps):
+        s.sweep(rest, tables, np.full(n, whole), p, p, d, 1.0, 100 * k)
+    assert (tables == (alone + s.t if whole else alone + 1)).all()
+    u = (np.arange(1000) + 0.5) / 1000
+    weight, step = (1 + d * (alone + (not whole))) * p[0], d * p[0] * whole
+    want = seating.drawn(np.full(1000, c), np.full(1000, weight), np.full(1000, step), d, u).mean()
+    assert s.t.mean() == pytest.approx(want, rel=0.1)
