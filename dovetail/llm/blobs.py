@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import struct
 
 import numpy as np
@@ -13,14 +14,14 @@ import zstandard
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one dimension as bytes: byte planes, compressed with zstandard."""
-    head, body = [struct.pack("<I", len(arrays))], []
+    head = struct.pack("<I", len(arrays)) + b"".join(struct.pack("<4sQ", a.dtype.str.encode(), len(a)) for a in arrays)
+    raw = np.empty(len(head) + sum(a.nbytes for a in arrays), np.uint8)
+    raw[: len(head)] = np.frombuffer(head, np.uint8)
+    at = len(head)
     for a in arrays:
-        a = np.ascontiguousarray(a)
-        kind = a.dtype.str.encode()
-        planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b""
-        head.append(struct.pack("<4sQ", kind, len(a)))
-        body.append(planes)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
+        raw[at : at + a.nbytes].reshape(a.dtype.itemsize, len(a))[:] = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
+        at += a.nbytes
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -53,6 +54,14 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+@functools.cache
+def map_large() -> None:
+    """From now on this process maps each array of a megabyte on its own, so its memory goes back with it; malloc else raises that
+    limit as it goes and keeps the arrays in its heap."""
+    with contextlib.suppress(Exception):
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+
+
 def tidy(run):
     """A generator over batches that trims when it ends."""
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dovetail.llm import store
-from dovetail.llm.blobs import gaps, pack, tidied, tidied_pair, tidy, ungap, unpack
+from dovetail.llm.blobs import gaps, map_large, pack, tidied, tidied_pair, tidy, ungap, unpack
 from dovetail.llm.seating import Seating, at_once, drawn, uniform, within
 from dovetail.llm.text import U64, chunks, mix, words
 
@@ -142,6 +142,7 @@ def _emitter(n_parts: int, hot: np.ndarray):
             yield from flush(block, *lists)
 
     def run(batches):
+        map_large()
         for kind, part, block, blob in rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([blob], pa.binary())], ["kind", "a", "b", "blob"])
 
@@ -165,37 +166,63 @@ def per_hot(n: int, place: np.ndarray, values: np.ndarray) -> list[int]:
     return np.bincount(place, values, minlength=n + 1)[1:].astype(np.int64).tolist()
 
 
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct keys of all parts, ascending, in less memory than np.unique takes for them and their places."""
+    keys = np.concatenate(parts)
+    keys.sort()
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return keys[first]
+
+
+def _pairs(blobs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """A part's vocabulary; each block's pairs by places in the vocabulary, and their counts.  Unpacks a block at a time."""
+    found = []
+    for x in blobs:
+        context, _, word, _ = unpack(x)
+        found.append(distinct([ungap(context), word]))
+    vocabulary, pairs, counts = distinct(found), [], []
+    del found
+    for x in blobs:
+        context, runs, word, count = unpack(x)
+        pair = np.repeat(np.searchsorted(vocabulary, ungap(context)) << 32, runs)
+        pair |= np.searchsorted(vocabulary, word)
+        pairs.append(pair)
+        counts.append(count)
+    return vocabulary, pairs, counts
+
+
 def _gather(n_roots: int, hot: np.ndarray):
     """Of one part: its pairs over all blocks, where each block's stand, its repeated pairs, and one table for each."""
     edges = np.array([(q << 64) // n_roots for q in range(1, n_roots)], U64)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        map_large()
         part = int(pdf["a"].iloc[0])
         pdf = pdf.sort_values("b")
         out = [(INDEX, part, b, x, None) for k, b, x in zip(pdf["kind"], pdf["b"], pdf["blob"], strict=True) if k == INDEX]
         blocks = [b for k, b in zip(pdf["kind"], pdf["b"], strict=True) if k == STATIC]
-        took = [unpack(x) for k, x in zip(pdf["kind"], pdf["blob"], strict=True) if k == STATIC]
-        if not took:
+        blobs = [x for k, x in zip(pdf["kind"], pdf["blob"], strict=True) if k == STATIC]
+        if not blobs:
             return frame(out)
-        size = [len(x[2]) for x in took]
-        context = np.concatenate([np.repeat(ungap(x[0]), x[1]) for x in took])
-        word, c = np.concatenate([x[2] for x in took]), np.concatenate([x[3] for x in took])
-        del took
-        vocabulary, index = np.unique(np.concatenate([context, word]), return_inverse=True)
-        pairs, at = np.unique(index[: len(word)] << 32 | index[len(word) :], return_inverse=True)
-        del index, context, word
-        c = np.bincount(at, c, minlength=len(pairs)).astype(np.int64)
-        who, what = pairs >> 32, pairs & 0xFFFFFFFF
-        starts = np.flatnonzero(np.diff(who, prepend=-1))
-        runs = np.diff(np.append(starts, len(who)))
-        rest, contexts = np.repeat(np.arange(len(starts)), runs), vocabulary[who[starts]]
+        vocabulary, pairs, counts = _pairs(blobs)
+        keys, size = distinct(pairs), [len(x) for x in pairs]
+        c, gap = np.zeros(len(keys), np.int64), []
+        while pairs:  # a block's pairs are distinct and stand in the part's order
+            at = np.searchsorted(keys, pairs.pop(0))
+            c[at] += counts.pop(0)
+            gap.append(np.diff(at, prepend=0).astype(np.uint32))
+        what = (keys & 0xFFFFFFFF).astype(np.uint32)
+        keys >>= 32
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        contexts = vocabulary[keys[starts]]
+        del keys
+        runs = np.diff(np.append(starts, len(what)))
+        rest = np.repeat(np.arange(len(starts)), runs)
         place = np.searchsorted(hot, contexts)
         place = np.where(np.append(hot, END)[place] == contexts, place + 1, 0) * np.isin(contexts, hot)
-        gap, at_block = [], 0
-        for n in size:  # a block's pairs stand in the part's order
-            gap.append(np.diff(at[at_block : at_block + n], prepend=0).astype(np.uint32))
-            at_block += n
-        out.append((STATIC, part, 0, pack(place.astype(np.uint32), runs.astype(np.uint32), what.astype(np.uint32), c.astype(np.uint32), np.array(blocks, np.int64), np.array(size, np.int64), *gap), None))
+        out.append((STATIC, part, 0, pack(place.astype(np.uint32), runs.astype(np.uint32), what, c.astype(np.uint32), np.array(blocks, np.int64), np.array(size, np.int64), *gap), None))
+        del gap
         of_context = lambda x: np.bincount(rest, x, minlength=len(starts)).astype(np.int64)
         tables_of, busy = of_context(c > 0), c > 1
         known, cut = np.unique(rest[busy]), np.concatenate([[0], np.searchsorted(vocabulary, edges), [len(vocabulary)]])
@@ -203,7 +230,7 @@ def _gather(n_roots: int, hot: np.ndarray):
         identity = (pair_key(contexts[rest[busy]], vocabulary[what[busy]]) >> U64(32)).astype(np.uint32)
         singles = np.bincount(what, c == 1, minlength=len(vocabulary)).astype(np.uint32)
         numbers = [int((c == 1).sum()), int((c == 2).sum()), *per_hot(len(hot), place, of_context(c)), *per_hot(len(hot), place, tables_of)]
-        active = pack(cut.astype(np.int64), singles, place[known].astype(np.uint32), (tables_of - of_context(busy))[known].astype(np.uint32), np.diff(own, prepend=0).astype(np.uint32), identity, what[busy].astype(np.uint32), c[busy].astype(np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+        active = pack(cut.astype(np.int64), singles, place[known].astype(np.uint32), (tables_of - of_context(busy))[known].astype(np.uint32), np.diff(own, prepend=0).astype(np.uint32), identity, what[busy], c[busy].astype(np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
         out.append((TABLES, part, 0, active, numbers))
         out += messages(part, n_roots, vocabulary, cut, np.bincount(what, c > 0, minlength=len(vocabulary)), np.bincount(what, c, minlength=len(vocabulary)))
         return frame(out)

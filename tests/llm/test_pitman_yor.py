@@ -2,15 +2,17 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_llm import SF, table
 
 from dovetail.llm import pitman_yor, seating, store
-from dovetail.llm.blobs import unpack, ungap
+from dovetail.llm.blobs import gaps, pack, unpack, ungap
 from dovetail.llm.text import mix
 
 
@@ -192,3 +194,23 @@ def test_a_sweep_seats_every_customer_of_a_large_dish_again(whole, sweeps):
     weight, step = (1 + d * (alone + (not whole))) * p[0], d * p[0] * whole
     want = seating.drawn(np.full(1000, c), np.full(1000, weight), np.full(1000, step), d, u).mean()
     assert s.t.mean() == pytest.approx(want, rel=0.1)
+
+
+def test_gathering_a_part_holds_few_copies_of_its_pairs():
+    rng, blobs, n = np.random.default_rng(3), [], 0
+    for _ in range(12):  # blocks as _emitter packs them: distinct pairs in the order of context and word
+        pairs = np.unique(rng.integers(0, 1 << 24, 60_000))
+        context, runs = np.unique(mix((pairs >> 12).astype(np.uint64)), return_counts=True)
+        word = np.concatenate([np.sort(mix(rng.choice(1 << 12, r, False).astype(np.uint64))) for r in runs])
+        blobs.append(pack(gaps(context), runs.astype(np.uint32), word, np.ones(len(word), np.uint32)))
+        n += len(word)
+    part = pd.DataFrame({"kind": pitman_yor.STATIC, "a": 0, "b": range(len(blobs)), "blob": blobs})
+    tracemalloc.start()
+    try:
+        out = pitman_yor._gather(4, np.zeros(0, np.uint64))(part)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    place, runs, what, c, _, size, *_ = unpack(out[out["kind"] == pitman_yor.STATIC]["blob"].iloc[0])
+    assert c.sum() == n == size.sum() and runs.sum() == len(what) == len(c)
+    assert peak < 60 * n
