@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dovetail.functions.similarity import indel_ratio
+from dovetail.functions.similarity import common, places
 
 # Canonical skills with the other spellings that are accepted.
 SKILLS = {
@@ -124,14 +125,40 @@ def skill_alias(raw: Column) -> Column:
     return lookup({v: name for name, more in SKILLS.items() for v in (name.lower(), *more)}, F.lower(F.trim(raw)))
 
 
+def _closest(text: str) -> dict:
+    """The canonical name most like a text (the first in order among equals), names that can't be better being passed over."""
+    best, at = {"name": None, "score": -1.0}, places(text)
+    for name in sorted(SKILLS):
+        low, total = name.lower(), len(name) + len(text)
+        if 200.0 * min(len(low), len(text)) / total > best["score"]:
+            score = 100.0 if low == text else 200.0 * common(at, len(text), low) / total
+            if score > best["score"]:
+                best = {"name": name, "score": score}
+    return best
+
+
+def closest(clean: Column) -> Column:
+    """For each text of an array, struct(name, score) of the closest canonical name; null for null."""
+
+    def each(arrays: pd.Series) -> pd.Series:
+        known: dict[str, dict] = {}  # of this batch
+        found = lambda t: None if t is None else known[t] if t in known else known.setdefault(t, _closest(t))
+        return pd.Series([None if a is None else [found(t) for t in a] for a in arrays], dtype=object)
+
+    return F.pandas_udf(each, "array<struct<name:string,score:double>>")(clean)
+
+
+def skills(raw: Column) -> Column:
+    """For each text of an array, struct(name, confidence, method, best_match, best_score): a known spelling, else the closest
+    canonical name if it is close enough, else the text as it stands."""
+    unknown = F.transform(raw, lambda t: F.when(skill_alias(t).isNull() & (F.trim(t) != ""), F.lower(F.trim(t))))
+    both = F.arrays_zip(raw.alias("raw"), closest(unknown).alias("best"))
+    return F.transform(both, lambda z: skill_result(z["raw"], skill_alias(z["raw"]), z["best"]["name"], z["best"]["score"]))
+
+
 def skill(raw: Column) -> Column:
-    """struct(name, confidence, method, best_match, best_score): a known spelling, else the closest canonical name (the
-    first in order among equals) if it is close enough, else the text as it stands."""
-    clean = F.lower(F.trim(raw))
-    names = F.array(*[F.lit(n) for n in sorted(SKILLS)])
-    tried = F.transform(names, lambda n, i: F.struct(indel_ratio(clean, F.lower(n)).alias("score"), (-i).alias("at"), n.alias("name")))
-    best = F.array_max(tried)
-    return skill_result(raw, skill_alias(raw), best["name"], best["score"])
+    """skills() of one text."""
+    return F.get(skills(F.array(raw)), F.lit(0))
 
 
 def skill_result(raw: Column, alias: Column, name: Column, score: Column) -> Column:

@@ -19,8 +19,9 @@ EXACT, LISTED, SINGLE = ("exact_email_and_phone", 0.97), ("manifest_resume_link"
 
 def validated(a_email: Column, a_phone: Column, a_name: Column, b_email: Column, b_phone: Column, b_name: Column, file: Column) -> Column:
     """Whether a row and the resume file it lists agree; the cheap tests come first."""
-    x, y, stem = F.lower(a_name), F.lower(b_name), F.lower(file_stem(file))
     named = a_name.isNotNull() & b_name.isNotNull()
+    told = F.coalesce(a_email == b_email, F.lit(False)) | F.coalesce(a_phone == b_phone, F.lit(False)) | ~named
+    x, y, stem = (F.when(~told, F.lower(text)) for text in (a_name, b_name, file_stem(file)))  # null costs no comparison
     return (
         F.when(a_email == b_email, True)
         .when(a_phone == b_phone, True)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dovetail.functions.normalize import SKILL_TYPE, phone, skill
+from dovetail.functions.normalize import phone, skills
 
 DEFAULT = {
     "fields": [
@@ -129,7 +129,7 @@ def normalized(value: Column, field: Field) -> Column:
     if field.normalize == "E164" and field.type == "string":
         return F.coalesce(phone(value)["e164"], value)
     if field.normalize == "CANONICAL" and field.type == "string[]":
-        return F.transform(value, lambda v: skill(v).cast(SKILL_TYPE)["name"])
+        return F.transform(skills(value), lambda s: s["name"])
     return value
 
 
