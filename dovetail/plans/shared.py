@@ -1,4 +1,4 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Cutting lineage in the folder that the cluster shares, and dealing rows over the cluster."""
 
 from __future__ import annotations
 
@@ -15,3 +15,9 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="dovetail-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by a key with many values over as many tasks as a shuffle has: a table of small rows is read in a task or two,
+    whatever its rows cost afterwards."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dovetail.functions import extract, normalize, similarity
 from dovetail.operators import merge, records, resolve, score
 from dovetail.plans import projection
+from dovetail.plans.shared import spread
 from dovetail.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,7 +133,7 @@ def written_resumes(spark, sf_dir) -> DataFrame:
     study = F.concat(F.lit("School "), ks, n, F.lit("Master of Arts"), n, F.when(k % 2 == 0, F.lit("History")).otherwise(F.lit("no degree here")), n, F.lit("2009 or 2011"))
     skills = F.concat(F.lit("• SQL, "), F.col("c_mktsegment"), F.lit(",SQL"), n, F.lit("Rust | Go"), n, F.lit("Key skills"), n, F.lit("- Typing"))
     text = F.concat(F.lit("Ana Lima"), n, place, n, n, F.lit("Maker of "), F.col("c_mktsegment"), n, F.lit("ana@x.org"), n, n, F.lit("Work  Experience"), n, first, n, n, second, n, n, F.lit(" EDUCATION "), n, study, n, n, F.lit("Technical skills"), n, skills)
-    return read(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    return spread(read(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", text.alias("text"))
 
 
 @query("""SELECT c_custkey, 'Ana Lima' AS name, 'Maker of ' || c_mktsegment AS headline, CASE c_custkey % 3 WHEN 0 THEN 'Ana Lima' || chr(10) || 'Pune' WHEN 1 THEN 'Ana Lima' || chr(10) || 'Lyon' END AS city, CASE c_custkey % 3 WHEN 0 THEN 'MH' END AS region, CASE c_custkey % 3 WHEN 0 THEN 'US' END AS country,
@@ -151,7 +152,7 @@ SELECT k AS c_custkey, 0 AS pos, CASE WHEN k % 4 = 0 THEN 'Engineer' ELSE 'Clerk
 UNION ALL SELECT k, 1, 'Helper', 'Helper', '2001-01', '2003-01', 'Odd Jobs', false, round_even((24 + CASE WHEN k % 4 <> 0 THEN greatest(0, (2020 * 12 + 5) - (a * 12 + 1)) ELSE greatest(0, (b - a) * 12 + 2) END) / 12.0, 1)::DOUBLE FROM r""")
 def resume_roles(spark, sf_dir):
     """Roles in both orders and with the dates first, and the years worked up to June 2020."""
-    out = written_resumes(spark, sf_dir).select("c_custkey", extract.sections(F.col("text"))["experience"].alias("roles"))
+    out = score.settled(written_resumes(spark, sf_dir).select("c_custkey", extract.sections(F.col("text"), "experience")["experience"].alias("roles")))
     worked = extract.worked_years(F.col("roles"), F.make_date(F.lit(2020), F.lit(6), F.lit(1)))
     each = out.select("c_custkey", worked.alias("worked"), F.posexplode("roles").alias("pos", "r"))
     return each.select("c_custkey", "pos", "r.title", "r.company", normalize.year_month(F.col("r.start")).alias("start"), normalize.end_year_month(F.col("r.end")).alias("finish"), "r.summary", "r.is_current", "worked")
@@ -160,7 +161,7 @@ def resume_roles(spark, sf_dir):
 @query("""SELECT c_custkey, 'School ' || c_custkey AS institution, 'Master of Arts' AS degree, CASE WHEN c_custkey % 2 = 0 THEN 'History' ELSE 'no degree here' END AS field, 2009 AS end_year FROM customer""")
 def resume_studies(spark, sf_dir):
     """E8, E11."""
-    return written_resumes(spark, sf_dir).select("c_custkey", F.explode(extract.sections(F.col("text"))["education"]).alias("e")).select("c_custkey", "e.institution", "e.degree", "e.field", "e.end_year")
+    return score.settled(written_resumes(spark, sf_dir).select("c_custkey", extract.sections(F.col("text"), "education")["education"].alias("s"))).select("c_custkey", F.explode("s").alias("e")).select("c_custkey", "e.institution", "e.degree", "e.field", "e.end_year")
 
 
 # --- tables and scalars -----------------------------------------------------------------------------------------

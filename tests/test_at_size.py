@@ -5,9 +5,13 @@ import time
 
 from pyspark.sql import functions as F
 
+from dovetail import queries
 from dovetail.functions import similarity
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for ch in a:
@@ -28,3 +32,21 @@ def test_partial_ratios_of_longer_texts(spark):
     for r in got[:20]:
         windows = [r["b"][max(0, i) : i + 40] for i in range(-39, 120)]
         assert r["p"] == max(200.0 * lcs(r["a"], w) / (40 + len(w)) for w in windows) and r["n"] == lcs(r["a"], r["b"])
+
+
+def plan(spark, frame):
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000000")
+    try:
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+
+
+def tasks(frame):
+    return frame.select(F.spark_partition_id()).distinct().count()
+
+
+def test_roles_are_found_once_and_by_many_tasks(spark):
+    out = queries.resume_roles(spark, SF)
+    assert plan(spark, out).count(r"\n\s*\n") == 1  # what parts paragraphs; six times before
+    assert tasks(out) > 1
