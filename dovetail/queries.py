@@ -141,7 +141,8 @@ def written_resumes(spark, sf_dir) -> DataFrame:
 def resume_heads(spark, sf_dir):
     """Name, headline, place and skill tokens of written resumes."""
     t = F.col("text")
-    out = written_resumes(spark, sf_dir).select("c_custkey", extract.name(t).alias("name"), extract.headline(t, extract.name(t)).alias("headline"), extract.location(t).alias("l"), extract.sections(t)["skills"].alias("s"))
+    named = score.settled(written_resumes(spark, sf_dir).withColumn("name", extract.name(t)))
+    out = score.settled(named.select("c_custkey", "name", extract.headline(t, F.col("name")).alias("headline"), extract.location(t).alias("l"), extract.sections(t, "skills")["skills"].alias("s")))
     place = lambda c: F.when(F.col("c_custkey") % 3 != 2, F.col(f"l.{c}")).alias(c)  # noqa: E731  (the third kind's city is text of the next lines)
     return out.select("c_custkey", "name", "headline", place("city").alias("city"), place("region"), place("country"), F.array_join("s", ";").alias("skills"))
 

@@ -50,3 +50,9 @@ def test_roles_are_found_once_and_by_many_tasks(spark):
     out = queries.resume_roles(spark, SF)
     assert plan(spark, out).count(r"\n\s*\n") == 1  # what parts paragraphs; six times before
     assert tasks(out) > 1
+
+
+def test_heads_are_found_once_and_by_many_tasks(spark):
+    out = queries.resume_heads(spark, SF)
+    assert plan(spark, out).count("curriculum") == plan(spark, out).count("linkedin") == 1  # in names and headlines; four times and twice before
+    assert tasks(out) > 1
