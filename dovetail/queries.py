@@ -394,7 +394,7 @@ def customer_views(spark, sf_dir) -> DataFrame:
         F.array(F.struct(F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise(F.lit("Elsewhere Ltd")).alias("company"), F.lit("Engineer").alias("title"), F.lit("2015-01").alias("start"), F.lit("2016-01").alias("end"), none.alias("summary"), F.lit(False).alias("is_current"))).alias("experience"),
         F.array(study(F.lit("mit "), F.lit("BSc"), F.lit(1999)), study(F.concat(F.lit("School "), ks), none, F.lit(None).cast("int"))).alias("education"), F.concat(ks, F.lit(".txt")).alias("filename"),
     )
-    arrays = read(spark, sf_dir, "customer").select("c_custkey", F.when(k % 8 != 7, F.array(c)).otherwise(F.array()).cast(f"array<{records.CSV}>").alias("c"), F.when(k % 8 != 6, F.array(r)).otherwise(F.array()).cast(f"array<{records.RESUME}>").alias("r"))
+    arrays = spread(read(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.when(k % 8 != 7, F.array(c)).otherwise(F.array()).cast(f"array<{records.CSV}>").alias("c"), F.when(k % 8 != 6, F.array(r)).otherwise(F.array()).cast(f"array<{records.RESUME}>").alias("r"))
     both = (F.size("c") > 0) & (F.size("r") > 0)
     return arrays.select("c_custkey", F.col("c_custkey").cast("string").alias("group_id"), F.col("c_custkey").alias("group_order"), F.when(both & (k % 3 == 0), "manifest_resume_link").when(both, "exact_email_and_phone").otherwise("singleton").alias("match_method"), F.when(both & (k % 3 == 0), 0.88).when(both, 0.97).otherwise(1.0).alias("match_confidence"), F.concat(F.lit("s"), ks).alias("first_source"), "c", "r")
 

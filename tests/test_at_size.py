@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dovetail import queries
 from dovetail.functions import similarity
+from dovetail.plans import projection
 
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,19 @@ def test_heads_are_found_once_and_by_many_tasks(spark):
     out = queries.resume_heads(spark, SF)
     assert plan(spark, out).count("curriculum") == plan(spark, out).count("linkedin") == 1  # in names and headlines; four times and twice before
     assert tasks(out) > 1
+
+
+def test_skills_of_many_tokens_in_a_projection(spark):
+    rng = random.Random(4)
+    token = lambda: "".join(rng.choice("abcdehijklmnoprstuvy .+") for _ in range(24))
+    rows = [([token(), " ReactJs ", None, "Postgresq"],) for _ in range(20000)]
+    profiles = spark.createDataFrame(rows, "skills array<string>").withColumns({"field_confidence": F.create_map().cast("map<string,double>"), "overall_confidence": F.lit(0.0), "field_reasoning": F.create_map().cast("map<string,string>")})
+    config = projection.parse({"fields": [{"path": "out", "from": "skills", "type": "string[]", "normalize": "canonical"}], "include_confidence": False, "include_provenance": False})
+    began = time.time()
+    got = projection.project(profiles, config, ("skills",)).collect()
+    assert time.time() - began < 60
+    assert all(r["out"] == [r["skills"][0].strip(), "React", "", "PostgreSQL"] for r in got)
+
+
+def test_normalized_projection_is_dealt_to_many_tasks(spark):
+    assert tasks(queries.project_normalized(spark, SF)) > 1
