@@ -609,7 +609,7 @@ def reprojected(spark, sf_dir):
     from dovetail.plans import pipeline
     from dovetail.plans.shared import cut
 
-    stored = cut(notices.noticed(score.scored(merge.merged(customer_views(spark, sf_dir)))))
+    stored = notices.noticed(cut(score.scored(merge.merged(customer_views(spark, sf_dir)))))  # notices read all profiles twice
     out = pipeline.reproject(stored, {"fields": [{"path": "email", "from": "emails[0]"}], "include_confidence": False, "include_provenance": False})["output"]
     ids = stored.select("candidate_id", F.col("group_order").alias("c_custkey"))
     return out.join(ids, "candidate_id").select("c_custkey", F.get_json_object("output", "$.email").alias("email"))

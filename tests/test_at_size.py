@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dovetail import queries
 from dovetail.functions import similarity
-from dovetail.plans import projection
+from dovetail.plans import projection, shared
 
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +73,11 @@ def test_skills_of_many_tokens_in_a_projection(spark):
 
 def test_normalized_projection_is_dealt_to_many_tasks(spark):
     assert tasks(queries.project_normalized(spark, SF)) > 1
+
+
+def test_stored_profiles_are_made_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(shared, "cut", lambda df, cut=shared.cut: made.append(plan(spark, df)) or cut(df))
+    out = queries.reprojected(spark, SF)
+    assert out.count() == 150
+    assert [p.count("ArrowEvalPython") for p in made] == [1]  # twice before, as notices read all profiles twice
