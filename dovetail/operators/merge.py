@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dovetail.functions.extract import ROLE, STUDY, let
 from dovetail.functions.normalize import candidate_id
+from dovetail.functions.similarity import ratio
 from dovetail.operators.records import first_of_each
 
 YEARS_GAP = 0.15
@@ -27,13 +28,7 @@ def similar(a: str | None, b: str | None) -> float:
     """The indel ratio of two texts, trimmed and in lower case; -1 where one is missing."""
     if not a or not b:
         return -1.0
-    x, y = a.strip().lower(), b.strip().lower()
-    row = [0] * (len(y) + 1)
-    for ch in x:
-        above, row = row, [0]
-        for j, other in enumerate(y):
-            row.append(above[j] + 1 if ch == other else max(above[j + 1], row[j]))
-    return 200 * row[-1] / (len(x) + len(y)) if x or y else 100.0
+    return ratio(a.strip().lower(), b.strip().lower())
 
 
 def fold_roles(roles: list[dict], current: list[dict]) -> list[dict]:

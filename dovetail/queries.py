@@ -534,7 +534,7 @@ def larger_groups(spark, sf_dir):
     seg = F.col("c_mktsegment")
     c = F.array(row(F.lit("first@x.com"), F.lit("elsewhere ltd."), "Engineers", [skill(F.lit("SQL")), skill(seg)], [study(F.lit("MIT"), y=F.lit(2001))]), row(F.lit("second@x.com"), seg, "Chief", [skill(F.lit("sql"))], [study(F.lit("mit"), F.lit("ignored")), study(F.lit("Old School"))]))
     r = F.array(resume([skill(F.lower(seg))], [role("Late Ltd", "Lead", "2020-01"), role("late ltd ", "LEAD", "2020-01")], [study(F.lit("Mit "), F.lit("BSc"), F.lit(1999))]), resume([skill(F.lit("Rust"))], [role("Elsewhere Ltd", "Engineer", "2015-01")], [study(F.concat(F.lit("School "), ks))]))
-    groups = read(spark, sf_dir, "customer").select("c_custkey", ks.alias("group_id"), k.alias("group_order"), F.lit("exact_email_and_phone").alias("match_method"), F.lit(0.97).alias("match_confidence"), F.lit("s").alias("first_source"), c.alias("c"), r.alias("r"))
+    groups = spread(read(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", ks.alias("group_id"), k.alias("group_order"), F.lit("exact_email_and_phone").alias("match_method"), F.lit(0.97).alias("match_confidence"), F.lit("s").alias("first_source"), c.alias("c"), r.alias("r"))
     out = merge.merged(groups.filter("c_custkey > 9"))
     blank = lambda x: F.coalesce(x.cast("string"), F.lit(""))
     skills = F.transform("skills", lambda s: F.concat(s["name"], F.lit("("), F.array_join(s["sources"], "+"), F.lit(")")))

@@ -81,3 +81,7 @@ def test_stored_profiles_are_made_once(spark, monkeypatch):
     out = queries.reprojected(spark, SF)
     assert out.count() == 150
     assert [p.count("ArrowEvalPython") for p in made] == [1]  # twice before, as notices read all profiles twice
+
+
+def test_larger_groups_are_dealt_to_many_tasks(spark):
+    assert tasks(queries.larger_groups(spark, SF)) > 1
